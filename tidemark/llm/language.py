@@ -90,13 +90,13 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        # A miss ends a phrase; the next begins with the letter that missed. ~state marks it.
+        # ~state marks the start of a phrase: at the root, or with the letter that missed.
         start = np.zeros(self.width, dtype=np.int32)
         for c, t in nxt[0].items():
             start[c] = t
         table = np.tile(~start, (len(nxt), 1))
         for i, moves in enumerate(nxt):
-            for c, t in moves.items():
+            for c, t in moves.items() if i else ():
                 table[i, c] = t
             table[i, self.pad] = i
         table[:, self.other] = ~0
@@ -134,12 +134,12 @@ class Parser:
         out = np.zeros((len(texts), len(self.langs)))
         for k, table in enumerate(self.tables):
             state = np.zeros(len(owner), dtype=np.int32)
-            phrases = np.ones(len(owner), dtype=np.int32)
+            phrases = np.zeros(len(owner), dtype=np.int32)
             for c in steps:
                 state = table[state + c]
-                miss = state < 0
-                phrases += miss
-                np.bitwise_xor(state, -miss.astype(np.int32), out=state)  # ~state where it missed
+                begun = state >> 31  # -1 where a phrase starts
+                phrases -= begun
+                state ^= begun
             out[:, k] = np.bincount(owner, weights=phrases, minlength=len(texts))[: len(texts)] * self.bits[k]
         return out / np.maximum(size, 1)[:, None], letters
 
