@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch while a staged table is written.
+BATCH_ROWS = 1000
 _own_dir: str | None = None
 
 
@@ -31,7 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = conf.get(key)
+    conf.set(key, min(int(rows), BATCH_ROWS))  # long texts: smaller batches for Python
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(key, rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of labelled text kept for each language, and about how many documents they are drawn from.
-SAMPLE_CHARS = 60_000
-SAMPLE_DOCS = 300
+SAMPLE_CHARS = 30_000
+SAMPLE_DOCS = 150
 LANE = 256
 UNKNOWN = "und"
 _LIMIT = 0x3000
@@ -160,9 +160,9 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
             texts = [t.as_py() or "" for t in batch.column(batch.schema.names.index(text))]
             pred, score = [], []
             at = 0
-            while at < len(texts):  # about 2 million characters at a time
+            while at < len(texts):  # about a million characters at a time
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) < 2_000_000):
+                while to < len(texts) and (to == at or chars + len(texts[to]) < 1_000_000):
                     chars += len(texts[to])
                     to += 1
                 bits, letters = parser.entropies(texts[at:to])

@@ -40,7 +40,7 @@ _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:  # it only saves work
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
