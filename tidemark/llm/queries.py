@@ -31,6 +31,25 @@ def op4_pack(spark, sf_dir):
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_groups(spark, sf_dir):
+    from .embeddings import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark, sf_dir):
+    from .toxicity import predict_toxicity
+
+    out = predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op7_token_counts(spark, sf_dir):
+    from .tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     from .language import predict_language
 
@@ -45,8 +64,15 @@ def op9_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark, sf_dir):
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    out = [op1_secret_scan, op2_decontaminate, op3_shard, op4_pack, op8_language, op9_near_duplicates]
+    out = [op1_secret_scan, op2_decontaminate, op3_shard, op4_pack, op5_embedding_groups, op6_toxicity, op7_token_counts, op8_language,
+           op9_near_duplicates, op10_main_text]
     return {f.__name__: f for f in out}
 
 
