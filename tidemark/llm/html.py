@@ -40,6 +40,7 @@ _ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_TAG_START = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 PERIOD = 4
 MIN_PAGES = 20  # a slot is constant template text only if this many pages agree
 SALTS = 256
@@ -70,6 +71,11 @@ def parse(page: str) -> Node:
         if m is None:  # a tag that never ends
             break
         at = m.end()
+        if m[4] == "<" and page[at : at + 1] and page[at] in _TAG_START:  # a tag with odd quotes, or one that never ends
+            at = page.find(">", at) + 1
+            if not at:
+                break
+            continue
         if m[4] is not None:
             run.append(m[4])
             continue

@@ -65,7 +65,7 @@ class Model:
             return self
         for _ in range(turns[0]):
             pos, neg = [w for w in windows if y[w[0]]], [w for w in windows if not y[w[0]]]
-            self._epoch(ids, self._some(pos, 20_000) + self._some(neg, 20_000), y, starts, flat)
+            self._epoch(ids, self._some(pos, 12_000) + self._some(neg, 12_000), y, starts, flat)
         for _ in range(turns[1]):
             worst = self._worst(ids, self.word_scores(starts, flat))
             pos = [(k, int(i)) for k, i in enumerate(worst) if y[k] and len(ids[k])]
