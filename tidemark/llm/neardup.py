@@ -7,9 +7,9 @@ the low BITS bits of every minimum are kept as bit planes, packed into 64-bit wo
 estimated from the number of agreeing positions (bit counts of the planes' differences, corrected for chance
 agreement), and what the estimate doesn't exclude by a wide margin is confirmed on the full sets.
 
-Candidates come in two rounds, so that a large group isn't paired up: first every member of a bucket with
-the bucket's smallest id; then, after components are known, only members of one bucket that still lie in
-different components. Links inside a component can't change the result.
+Links come in two rounds, so that a large group isn't paired up: first every member of a bucket with the
+bucket's hub; then, after components are known, those that share a bucket across components are joined on the
+rarest shingles of their full sets. Links inside a component can't change the result.
 
 Documents without words or text have an empty set and are linked with nothing. Repeated rows are one class.
 Rows that share doc_id count as one document.
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_broadcast, components, staged
 
@@ -124,24 +125,27 @@ def estimate(x, y):
     return ((1 - differ / PERMS) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets reach the limit: 100 * shared >= percent * all."""
-    wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles sorted array<long>) of the documents in wanted(id), written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded_broadcast(wanted), "id", "left_semi")
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+            full = [np.sort(shingle_set(t.as_py()).view(np.int64)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return staged(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
-    full = staged(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    both = pairs.join(full.withColumnRenamed("id", "a").withColumnRenamed("shingles", "sa"), "a").join(
-        full.withColumnRenamed("id", "b").withColumnRenamed("shingles", "sb"), "b").select("a", "b", "sa", "sb")
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full sets reach the limit: 100 * shared >= percent * all."""
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def check(batches):
         for pdf in batches:
             keep = []
-            for sa, sb in zip(pdf.sa, pdf.sb, strict=True):
-                x, y = np.frombuffer(sa, dtype=np.uint64), np.frombuffer(sb, dtype=np.uint64)
+            for x, y in zip(pdf.sa, pdf.sb, strict=True):
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -153,6 +157,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(check, "a long, b long")
 
 
+def _prefix_pairs(full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of full(id, c, shingles) from different components c that may reach the limit.
+
+    Each set is ordered by rarity. Two sets over the limit share a shingle among the first few of both (the prefix), and at the first
+    such place enough of both must be left. What is common to many documents comes last, so it makes no pairs."""
+    token = full.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    often = token.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    mine = Window.partitionBy("id")
+    shared = token.join(often, "t").withColumns({"r": F.row_number().over(mine.orderBy("f", "t")), "k": F.count("*").over(mine)})
+    # Shingles that no other set has stand before all others.
+    place = shared.select("id", "c", "n", "t", (F.col("n") - F.col("k") + F.col("r")).alias("at")).where(
+        F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    x = place.select("t", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = place.select("t", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    left = (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return x.join(y, (x["t"] == y["t"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & left).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
     made = staged(sketches(docs), "sketches")
@@ -161,8 +184,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rep.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     first = staged(first.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "bands", "planes"), "reps")
     member = first.select("doc_id", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    inside = staged(member.join(bucket, "key").select("key", "low", "doc_id"), "buckets")
+    sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = staged(member.join(sizes, "key"), "members")
+    # The hub of a bucket is the member that meets most others over all its buckets: of near copies, the text they come from.
+    weight = crowded.groupBy("doc_id").agg(F.sum("n").alias("w"))
+    hubs = crowded.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("best"))
+    inside = staged(crowded.join(hubs, "key").select("key", (-F.col("best.d")).alias("hub"), "doc_id"), "buckets")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         side = first.select("doc_id", "planes")
@@ -170,17 +197,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             side.select(F.col("doc_id").alias("b"), F.col("planes").alias("pb")), "b")
         return staged(seen.where(estimate(F.col("pa"), F.col("pb")) >= percent / 100 - MARGIN).select("a", "b"), name)
 
-    to_low = likely(inside.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
-    links = staged(_confirmed(to_low, docs, percent), "links")
+    to_hub = likely(inside.where("doc_id != hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "candidates")
+    wanted = to_hub.select(F.col("a").alias("id")).union(to_hub.select("b")).distinct()
+    links = staged(_confirmed(to_hub, _full_sets(docs, staged(wanted, "wanted")), percent), "links")
     group = components(links)
     # Second round: members of a bucket that are still apart.
-    apart = inside.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "low", F.coalesce("component", "doc_id").alias("c"))
-    mixed = apart.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    rest = staged(apart.join(mixed, "key"), "apart")
-    x, y = rest.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), "low")
-    pairs = x.join(y, "key").where("a < b and ca != cb and a != low").select("a", "b").distinct()
-    more = _confirmed(likely(pairs, "candidates"), docs, percent)
+    now = inside.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    apart = staged(now.join(mixed, "key").select(F.col("doc_id").alias("id"), "c").distinct(), "apart")
+    full = _full_sets(docs, apart.select("id"))
+    more = staged(_confirmed(_prefix_pairs(full.join(apart, "id"), percent), full, percent), "links")
     group = components(links.unionByName(more))
     classes = rep.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     # Rows of one doc_id that are different texts share the smaller component.
