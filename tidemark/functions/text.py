@@ -33,10 +33,13 @@ def article_text(title: Column, summary: Column) -> Column:
 
 
 def char_shingles(text: Column, k: int = 3) -> Column:
-    """Distinct lower-cased k-grams; the whole text if it is shorter."""
+    """Distinct lower-cased k-grams; the whole text if it is shorter. Linear in the text: shifted arrays of characters are joined."""
     low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(k)))
-    return F.array_distinct(grams)
+    chars = F.split(low, "")
+    grams = chars
+    for i in range(1, k):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(i + 1), F.greatest(F.length(low), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.when(F.length(low) < k, F.array(low)).otherwise(F.filter(grams, lambda g: g.isNotNull())))
 
 
 def local_time(ts: Column, offset: str = "INTERVAL '05:30' HOUR TO MINUTE") -> Column:

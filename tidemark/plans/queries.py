@@ -341,9 +341,15 @@ def stream_counts_batch(spark, sf_dir):
     return e.groupBy(F.window("ts", "30 minutes")["start"].alias("at"), "event_type").agg(F.count("*").alias("n"))
 
 
+def _all():
+    from tidemark.plans import research  # noqa: F401  adds its queries
+
+    return QUERIES, SQL
+
+
 def queries():
-    return dict(QUERIES)
+    return dict(_all()[0])
 
 
 def oracle_sql():
-    return dict(SQL)
+    return dict(_all()[1])
