@@ -8,6 +8,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import evaluation as ev, joins, news, timeseries as ts
 from tidemark.plans.queries import query, r, settled
 from tidemark.sources import fixtures as fx
+from tidemark.streaming import counts
 
 # --- news ---------------------------------------------------------------------------------------------------------
 
@@ -239,3 +240,14 @@ def health_report(spark, sf_dir):
 def drift_check(spark, sf_dir):
     out = ev.drift_check(_forecasts(spark, sf_dir).select("date", F.col("p").alias("sent_spread")))
     return out.select("metric", settled("value", 4).alias("value"), "status")
+
+
+# --- streaming ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS at, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    schema = fx.read(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern may name a file, too
+    out = counts.stream_counts(files, counts.work_folder(spark, "stream_counts"))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
