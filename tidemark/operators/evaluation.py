@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tidemark.operators import stats
@@ -156,3 +162,91 @@ def drift_check(sentiment: DataFrame, threshold: float = 0.15, least: int = 20)
     halves = known.select((k > F.floor(F.count("*").over(Window.partitionBy()) / 2)).cast("int").alias("side"), F.col("sent_spread").alias("x"))
     kl = stats.histogram_kl(halves).crossJoin(known.agg(F.count("*").alias("rows")))
     return kl.select(*_check("sentiment_drift", F.col("kl"), F.col("rows"), threshold, F.col("kl") > threshold, least))
+
+
+def leg_returns(legs: DataFrame, ret: str) -> DataFrame:
+    """date, ret: mean of the long leg less mean of the short one; a leg without rows counts as zero."""
+    side = lambda leg: F.coalesce(F.avg(F.when(F.col("leg") == leg, F.col(ret))), F.lit(0.0))
+    return legs.groupBy("date").agg((side("long") - side("short")).alias("ret"))
+
+
+def benchmark_series(series: dict[str, DataFrame]) -> DataFrame:
+    """strategy, date, daily_ret, cum_ret of several (date, ret: log return) tables in one long table."""
+    rows = None
+    for name, s in series.items():
+        one = s.select(F.lit(name).alias("strategy"), "date", F.col("ret").alias("daily_ret"))
+        rows = one if rows is None else rows.unionByName(one)
+    so_far = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("cum_ret", F.expm1(F.sum("daily_ret").over(so_far)))
+
+
+def deflated_sharpe(returns: DataFrame, ret: str, by: list[str], trials: int) -> DataFrame:
+    """by, n, sharpe (yearly), skew, excess_kurtosis, dsr: the chance that the ratio beats the best of `trials` random strategies.
+
+    One trial expects nothing above zero. Under four returns, or none that differ: dsr is null. The normal tail is taken over the few aggregated rows."""
+    normal, gamma = statistics.NormalDist(), 0.5772156649
+    best = 0.0 if trials < 2 else (1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e))
+    m = stats.moments(F.col(ret))
+    t = returns.groupBy(*by).agg(F.count(ret).alias("n"), (F.avg(ret) / F.nullif(m["std"], F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"), m["skew"].alias("skew"),
+                                 m["excess_kurtosis"].alias("excess_kurtosis"))
+    spread = F.sqrt(1 - F.col("skew") * F.col("sharpe") + (F.col("excess_kurtosis") + 2) / 4 * F.col("sharpe") ** 2)
+    z = (F.col("sharpe") - best * spread / F.sqrt(F.col("n") - 1)) * F.sqrt(F.col("n") - 1) / spread
+    return t.withColumn("dsr", F.when(F.col("n") >= 4, normal_cdf(z)))
+
+
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2)))
+
+
+def factor_regression(rows: DataFrame, y: str, factors: list[str], by: list[str], least: int = 20) -> DataFrame:
+    """by, factor (`alpha` for the yearly intercept), beta, t, p, r2, n of least squares on several factors; rows with a null go.
+
+    Sums of products are added up by Spark; only the small normal equations of each group are solved in Python. p is the normal
+    tail. A group with fewer rows, or with factors that depend on each other, has no result."""
+    terms = ["_one", *factors]
+    known = rows.dropna(subset=[y, *factors]).withColumn("_one", F.lit(1.0))
+    sums = [F.sum(F.col(a) * F.col(b)) for a in [*terms, y] for b in [*terms, y]]
+    products = known.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("s")).where(F.col("n") >= least)
+    k = len(terms)
+
+    @F.pandas_udf("array<struct<factor string, beta double, t double, p double, r2 double>>")
+    def solved(n: pd.Series, s: pd.Series) -> pd.Series:
+        def one(n, s):
+            m = np.array(s, dtype=float).reshape(k + 1, k + 1)
+            x, xy, yy = m[:k, :k], m[:k, k], m[k, k]
+            if n <= k or np.linalg.matrix_rank(x) < k:
+                return []
+            inverse = np.linalg.inv(x)
+            beta = inverse @ xy
+            rest, total = max(yy - beta @ xy, 0.0), yy - m[0, k] ** 2 / n
+            error = np.sqrt(np.diag(inverse) * rest / (n - k))
+            t = np.divide(beta, error, out=np.full(k, np.inf), where=error > 0)
+            r2 = 1 - rest / total if total > 0 else 0.0
+            return [{"factor": "alpha" if i == 0 else factors[i - 1], "beta": float(beta[i] * (252 if i == 0 else 1)), "t": float(t[i]),
+                     "p": math.erfc(abs(float(t[i])) / math.sqrt(2)), "r2": float(r2)} for i in range(k)]
+
+        return pd.Series([one(a, b) for a, b in zip(n, s)])
+
+    return products.select(*by, "n", F.explode(solved("n", "s")).alias("f")).select(*by, "n", "f.*")
+
+
+def strategy_daily_return(trades: DataFrame, capital: float) -> DataFrame:
+    """date, daily_ret: the net profit of a signal date's trades (pnl_net) as a share of capital."""
+    return trades.groupBy("date").agg((F.sum("pnl_net") / capital).alias("daily_ret"))
+
+
+def comparison_report(returns: DataFrame, factors: DataFrame) -> DataFrame:
+    """series, metric, value: the performance table in long form, with the beta of every factor of the same series."""
+    t = performance_table(returns)
+    wide = [c for c in t.columns if c != "series"]
+    long = t.select("series", *[F.col(c).cast("double").alias(c) for c in wide]).unpivot(["series"], wide, "metric", "value")
+    return long.unionByName(factors.select("series", F.concat(F.lit("beta_"), "factor").alias("metric"), F.col("beta").alias("value")))
+
+
+def health_history(report: DataFrame, day: str) -> DataFrame:
+    """The checks of a day as one wide row: date, one value and one status a metric, alerts (how many)."""
+    names = ["rolling_sharpe", "hit_rate", "information_coefficient", "prediction_bias", "sentiment_drift"]
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    cells = [pick(m, c).alias(m if c == "value" else f"{m}_status") for m in names for c in ("value", "status")]
+    return report.agg(F.lit(day).cast("date").alias("date"), *cells, F.count_if(F.col("status") == "alert").alias("alerts"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def moments(x: Column) -> dict[str, Column]:
-    """Sample deviation, bias-corrected skew and excess kurtosis."""
+    """Sample deviation, bias-corrected skew and excess kurtosis; null where there are too few values."""
     n, g1, g2 = F.count(x), F.skewness(x), F.kurtosis(x)
-    return {"std": F.stddev_samp(x), "skew": g1 * F.sqrt(n * (n - 1)) / (n - 2), "excess_kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)}
+    return {"std": F.stddev_samp(x), "skew": F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2), "excess_kurtosis": F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)}
 
 
 def histogram_kl(samples: DataFrame, bins: int = 20, eps: float = 1e-9) -> DataFrame:

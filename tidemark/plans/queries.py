@@ -342,7 +342,7 @@ def stream_counts_batch(spark, sf_dir):
 
 
 def _all():
-    from tidemark.plans import research  # noqa: F401  adds its queries
+    from tidemark.plans import modelling, research  # noqa: F401  they add their queries
 
     return QUERIES, SQL
 
