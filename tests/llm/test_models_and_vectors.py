@@ -63,6 +63,18 @@ def test_embedding_recall_on_the_table(spark, sf):
     assert got == brute_embedding_groups(rows)
 
 
+@pytest.mark.parametrize("largest", [2_000, 100_000, 1_000_000])
+def test_pairs_at_the_limit_meet_whatever_the_size_of_their_label(largest):
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k, z, listed = embeddings.caps(largest)
+    a, b = (embeddings.decode(v, embeddings.code(64, k), z / 8, listed) for v in (x, y))
+    assert sum(not np.intersect1d(p, q).size for p, q in zip(a, b, strict=True)) <= 1
+
+
 def test_decode_lists_every_direction_over_the_threshold():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((20, 16))

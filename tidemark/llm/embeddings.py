@@ -2,9 +2,10 @@
 
 Filter directions form a random product code: each half of a direction is one of `k` random unit codewords, so
 k*k directions need 2k inner products. A vector is list-decoded to all directions whose inner product with it
-reaches the cap's threshold (at least LEAST of them), vectors meet where they share (label, direction), and every
-meeting is verified by cosine in double precision. k and the threshold follow from the number of rows of the
-largest label, so that a cap holds about CAP vectors of a label whatever its size.
+reaches the cap's threshold, vectors meet where they share (label, direction), and every meeting is verified by
+cosine in double precision. k and the threshold follow from the number of rows of the largest label, so that a cap
+holds about CAP vectors of a label whatever its size. Narrower caps are shared more rarely, so the number of directions
+a vector is listed to (on average, and at least) grows with the logarithm of that number.
 
 Equal vectors of one label form a class at once; one vector of a class goes on and counts for all. Caps with more
 than CHUNK vectors are split into chunks that meet pairwise in separate tasks. Vectors without label, null,
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, components, staged
 
 CAP = 12
-LISTED = 24
-LEAST = 12
+LISTED = 32  # in labels of up to ROWS vectors
+ROWS = 9000
+STEP = 10  # more for each doubling
 CHUNK = 1500
 
 
@@ -39,7 +41,7 @@ def code(dim: int, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return halves[0], halves[1]
 
 
-def decode(x: np.ndarray, halves: tuple[np.ndarray, np.ndarray], threshold: float, least: int = LEAST) -> list[np.ndarray]:
+def decode(x: np.ndarray, halves: tuple[np.ndarray, np.ndarray], threshold: float, least: int = LISTED) -> list[np.ndarray]:
     """For each unit row of x the numbers of all directions whose inner product reaches the threshold, `least` at least."""
     k, cut = len(halves[0]), x.shape[1] - x.shape[1] // 2
     a = x[:, :cut] @ halves[0].T / math.sqrt(2)
@@ -59,6 +61,13 @@ def decode(x: np.ndarray, halves: tuple[np.ndarray, np.ndarray], threshold: floa
     return out
 
 
+def caps(largest: int, cap: int = CAP) -> tuple[int, float, int]:
+    """Codewords of a half, threshold in deviations of an inner product, and directions listed at least, for labels of up to `largest` vectors."""
+    listed = LISTED + math.ceil(STEP * math.log2(max(1.0, largest / ROWS)))
+    share = min(0.2, cap / largest)
+    return max(4, math.ceil(math.sqrt(listed / share))), NormalDist().inv_cdf(1 - share), listed
+
+
 def _matrix(col, n: int) -> np.ndarray:
     flat = col.flatten() if hasattr(col, "flatten") else col.values
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
@@ -116,12 +125,10 @@ def _verify(least: float):
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.93, cap: int = CAP, listed: int = LISTED) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.93, cap: int = CAP) -> DataFrame:
     """Distinct links (a < b) among vectors(rep long, label, dim int, embedding) of one label and dimension."""
     largest = vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    share = min(0.2, cap / largest)
-    k = max(4, math.ceil(math.sqrt(listed / share)))
-    z = NormalDist().inv_cdf(1 - share)
+    k, z, listed = caps(largest, cap)
 
     def lists(batches):
         for batch in batches:
@@ -130,7 +137,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.93, cap: int = CAP, liste
                 rows = batch.filter(pa.array(dims == dim))
                 x = _matrix(rows.column("embedding"), rows.num_rows)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = decode(x, code(int(dim), k), z / math.sqrt(dim))
+                found = decode(x, code(int(dim), k), z / math.sqrt(dim), listed)
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(at)), rows.column("label").take(pa.array(at)),
                                                   rows.column("dim").take(pa.array(at)), pa.array(np.concatenate(found)),
