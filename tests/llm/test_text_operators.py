@@ -226,6 +226,19 @@ def test_near_duplicates_match_brute_force(docs_of):
     assert neardup.near_duplicates(docs_of([])).count() == 0
 
 
+def test_pipeline_links_copies_from_similarity_80_on(spark, docs_of):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    texts = {10 * g: " ".join(f"{w}g{g}" for w in base) for g in range(20)}
+    for g in range(20):
+        # One changed word takes 5 of 100 shingles: 2 leave 90 / 110 = 0.82, 3 leave 85 / 115 = 0.74.
+        for copy, at in ((1, (30, 70)), (2, (25, 50, 75))):
+            texts[10 * g + copy] = " ".join("new" if i in at else f"{w}g{g}" for i, w in enumerate(base))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(texts), "").collect()}
+    assert kept == {i for i, (_, c) in brute_groups(texts, 80).items() if i == c} == {10 * g + k for g in range(20) for k in (0, 2)}
+
+
 def test_near_duplicates_on_the_table(spark, sf):
     docs = table(spark, sf, "documents")
     want = brute_groups({r["doc_id"]: r["text"] for r in docs.collect()})

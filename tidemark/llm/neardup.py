@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import bounded_broadcast, components, staged
 
 WORDS = 5
-BANDS, ROWS, BITS = 24, 6, 4
+BANDS, ROWS, BITS = 32, 5, 4  # at similarity 0.8 no band agrees in 3 of a million pairs
 PERMS = BANDS * ROWS
 PLANE = -(-PERMS // 64)
 #: A pair is dropped before its confirmation only if its estimate is this far (about five deviations) below the limit.
