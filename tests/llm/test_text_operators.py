@@ -239,6 +239,17 @@ def test_pipeline_links_copies_from_similarity_80_on(spark, docs_of):
     assert kept == {i for i, (_, c) in brute_groups(texts, 80).items() if i == c} == {10 * g + k for g in range(20) for k in (0, 2)}
 
 
+def test_rows_of_null_or_shared_ids_are_decided_on_their_own_texts(spark, docs_of):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (3, a), (None, ""), (None, ""), (4, ""), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", None if t is None else len(t)) for i, t in rows], docs_of([]).schema)
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.keep_first_of_groups(docs).collect())
+    assert got == Counter([(None, b), (1, c), (1, d), (3, a), (None, ""), (None, ""), (4, ""), (4, None)])
+    items = spark.createDataFrame([(1, a[:80]), (2, c[:80])], "item_id long, text string")
+    left = Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_leaks(docs, items).collect())
+    assert left == Counter((i, t) for i, t in rows if t not in (a, c))
+
+
 def test_near_duplicates_on_the_table(spark, sf):
     docs = table(spark, sf, "documents")
     want = brute_groups({r["doc_id"]: r["text"] for r in docs.collect()})

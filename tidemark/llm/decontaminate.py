@@ -16,11 +16,10 @@ import re
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, staged
-
 RATE = 20
 BLOCK_BYTES = 8 << 20
 _WORDS = re.compile(r"\w+")
@@ -106,26 +105,34 @@ class Matcher:
 _matchers: dict[int, Matcher] = {}
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rate: int = RATE) -> DataFrame:
-    """One row per (document row, item) found: doc_id, item_id, distance, allowed, end_char (in the normalised text)."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame):
+    """The items in broadcast blocks of about BLOCK_BYTES."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").alias("item")).where("item is not null")
     size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = None
     for b in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b).collect()]  # about BLOCK_BYTES at most
+        yield items.sparkSession.sparkContext.broadcast(block)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, rate: int = RATE) -> DataFrame:
+    """One row per (document row, item) found: doc_id, item_id, distance, allowed, end_char (in the normalised text)."""
+    out = None
+    for shared in _blocks(items):
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-            _matching(spark.sparkContext.broadcast(block), rate), "doc_id long, item_id long, distance int, allowed int, end_char long")
+            _matching(shared, rate), "doc_id long, item_id long, distance int, allowed int, end_char long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _matcher(block: list, rate: int) -> Matcher:
+    key = hash((tuple(block), rate))
+    return _matchers.get(key) or _matchers.setdefault(key, Matcher(block, rate))
+
+
 def _matching(shared, rate: int):
     def run(batches):
-        block = shared.value
-        key = hash((tuple(block), rate))
-        matcher = _matchers.get(key) or _matchers.setdefault(key, Matcher(block, rate))
+        matcher = _matcher(shared.value, rate)
         for pdf in batches:
             rows = [(doc_id, *hit) for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True) for hit in matcher.find(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "allowed", "end_char"])
@@ -133,7 +140,17 @@ def _matching(shared, rate: int):
     return run
 
 
+def _clean(shared, rate: int):
+    def run(batches):
+        matcher = _matcher(shared.value, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    return run
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: int = RATE) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    leaked = staged(find_leaks(docs, items, rate).select(F.col("doc_id").alias("__id")).distinct(), "leaked")
-    return docs.join(bounded_broadcast(leaked), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """docs without the rows that hold a benchmark item; each row is decided on its own text, whatever its doc_id."""
+    for shared in _blocks(items):
+        docs = docs.mapInArrow(_clean(shared, rate), docs.schema)
+    return docs

@@ -12,7 +12,7 @@ bucket's hub; then, after components are known, those that share a bucket across
 rarest shingles of their full sets. Links inside a component can't change the result.
 
 Documents without words or text have an empty set and are linked with nothing. Repeated rows are one class.
-Rows that share doc_id count as one document.
+Rows that share doc_id count as one document in the groups; keep_first_of_groups decides on each row.
 """
 
 from __future__ import annotations
@@ -216,8 +216,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_first_of_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the rows of documents that another document of their group stands for."""
-    dropped = staged(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    out = docs.join(bounded_broadcast(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """docs without the rows of documents that another document of their group stands for.
+
+    Each row is decided on its own text, also where a doc_id is null or shared by different texts; of a group the row with the
+    smallest doc_id (nulls last) stays. Rows of an empty set go only if they repeat the text and non-null doc_id of another."""
+    shared = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if shared:
+        return _first_rows(docs, percent)
+    dropped = staged(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__id")), "dropped")
+    return docs.join(bounded_broadcast(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
+def _first_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """One row of each group of rows, where doc_id does not tell rows apart: they get numbers, which are written."""
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    made = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
+    groups = made.select(F.col("doc_id").alias("__row"), (F.col("n_shingles") == 0).alias("empty"), "component_id")
+    empty = lambda c: F.when(F.col("empty"), c)
+    same = [F.when(~F.col("empty"), F.col("component_id")).alias("group"), empty(F.col("doc_id")).alias("id"), empty(F.col("content")).alias("content"),
+            empty(F.when(F.col("doc_id").isNull(), F.col("__row"))).alias("alone")]
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
+    first = rows.select("__row", "doc_id", F.xxhash64("text").alias("content"), order.alias("order")).join(groups, "__row").groupBy(*same).agg(
+        F.min("order").alias("first"))
+    first = staged(first.select(F.col("first.__row").alias("__row")), "first")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
