@@ -65,6 +65,24 @@ def test_secrets_match_brute_force(docs_of):
         assert got[i]["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans), t
 
 
+def test_random_parts_beside_allowed_ones_are_secrets(docs_of):
+    token = "Zx81kQ9vT2mN7pL4cR6w"
+    key = "q8Zt3LmXv0Rb7KdYw2Hs" + "AAAAAAAA" + "n5Gc9PjUe4Ta1FoVi6Sk"
+    hot = [f"https://host.com/reset/{token}", f"example_key={token}", f"host.com/a/b/{token}/c", f"changeme/{token}", f"k {key} k"]
+    calm = ["host.com/docs/reference/getting-started/page12", "example12345678901234567890", "https://host.com/users/550e8400-e29b-41d4-a716-446655440000", "changeme-xxxxxxxxxxxx-2024",
+            "your_example_key_placeholder_123"]
+    got = {r["doc_id"]: r for r in secrets.secret_digest(docs_of(hot + calm)).collect()}
+    for i, text in enumerate(hot):
+        (span,) = got[i]["spans"].split(",")
+        kind, start, end = span.split(":")
+        part = key if key in text else token
+        at = text.index(part)
+        assert kind == "entropy" and int(start) <= at and int(end) >= at + len(part), text
+    assert not any("entropy" in got[len(hot) + i]["spans"] for i in range(len(calm)))
+    red = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_of(hot)).collect()}
+    assert not any(token in t or key in t for t in red.values())
+
+
 def test_secrets_are_redacted_and_clean_texts_kept(docs_of):
     out = {r["doc_id"]: r for r in secrets.redact_secrets(docs_of(["é password=abcdefghijkl1 z", "clean text", None, ""])).collect()}
     assert out[0]["text"] == "é [SECRET] z" and out[0]["n_chars"] == len(out[0]["text"])

@@ -4,8 +4,8 @@ Base findings are regular-expression matches (assignments, access keys, hex runs
 window of WINDOW characters slides over every candidate string that holds a digit; the counts of the
 window's characters are kept incrementally (one enters, one leaves) and with them sum(c*log2 c), so that
 the Shannon entropy of each window is known in constant time. A candidate whose windows reach the limit of
-its character class yields one span, from the first such window to the end of the last. Candidates on the
-allow list (UUIDs, plain numbers, placeholders, path-like words) yield none, nor do spans inside a base one.
+its character class yields one span, from the first such window to the end of the last. Candidates that are on the
+allow list as a whole (UUIDs, plain numbers, placeholders, paths of words) yield none, nor do spans inside a base one.
 
 Null and empty texts have no findings. Offsets are code points, end exclusive.
 """
@@ -26,11 +26,16 @@ WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Least entropy in bits by class: hex digits, letters and digits, all candidate characters.
 LIMITS = (("^[0-9a-fA-F]+$", 2.9), ("^[0-9A-Za-z]+$", 3.6), ("", 3.7))
+_WORD = r"(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})"
+_WORDS = rf"{_WORD}(?:[_-]+{_WORD})*"
+_UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+#: Whole candidates only. Random parts beside a placeholder, a run of one character or a path are left to their windows.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    rf"^{_UUID}$",
     r"^[0-9+/_=-]+$",
-    r"(?i)example|placeholder|changeme|x{6,}|(.)\1{7,}",
-    r"^/?(?:[A-Za-z_-]+/)+[A-Za-z0-9_-]*$",
+    r"(?i)^(?=.{1,400}$)(?=.*(?:example|placeholder|changeme|x{6}|(.)\1{7}))(?:example|placeholder|changeme|x{6,}|(.)\2{7,}"
+    r"|(?<![0-9])(?:0?123456789)+0?(?![0-9])|(?<![0-9])(?:1234567890)*[0-9]{1,4}(?![0-9])|(?<![a-z0-9])[a-z]{1,15}(?![a-z0-9])|[+/_=-])+$",
+    rf"^/?(?:{_WORDS}/)+(?:(?:{_WORDS})?[0-9]{{0,4}}|{_UUID})$",
 )
 
 
