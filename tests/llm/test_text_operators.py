@@ -298,6 +298,21 @@ def test_myers_distance():
         assert decontaminate.myers(p, t)[0] == edit_substring(p, t)
 
 
+def test_leaks_of_items_that_repeat_a_phrase():
+    phrase = "which of the following statements about water is true when it is "
+    item = decontaminate.normalise(phrase + "heated " + phrase + "frozen")
+    allowed = len(item) // decontaminate.RATE
+    find = decontaminate.Matcher([(1, item)], decontaminate.RATE).find
+    rng = random.Random(3)
+    for _ in range(400):
+        s = list(item)
+        for k in rng.sample(range(1, len(item) // 2), allowed):  # all edits in the first half
+            s[k] = "q"
+        text = f"before it {''.join(s).strip()} and after it"
+        want = edit_substring(item, decontaminate.normalise(text)) <= allowed if not find(text) else True
+        assert bool(find(text)) == want, text
+
+
 def test_leaks_match_brute_force(spark, docs_of):
     vocab = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
     items = [" ".join(RNG.choice(vocab) for _ in range(RNG.randrange(6, 20))) for _ in range(12)] + ["", None, "one"]

@@ -85,17 +85,18 @@ class Matcher:
         if not s or self.empty:
             return []
         best: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}
+        done: dict[int, set[int]] = {}  # starts whose occurrences lie in a window verified before
         for last, (size, uses) in self.auto.iter(s):
             for n, at in uses:
                 _, item, k = self.items[n]
                 if best.get(n, (1, 0))[0] == 0:
                     continue
                 start = last + 1 - size - at
-                if start < done.get(n, -1):  # inside the window verified last
+                near = done.setdefault(n, set())
+                if start in near:
                     continue
                 lo, hi = max(0, start - 2 * k), min(len(s), start + len(item) + 2 * k)
-                done[n] = start + k + 1
+                near.update(range(start - k, start + k + 1))
                 d, end = myers(item, s[lo:hi])
                 if d <= k and d < best.get(n, (k + 1, 0))[0]:
                     best[n] = (d, lo + end)
