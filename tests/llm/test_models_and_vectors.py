@@ -174,6 +174,17 @@ def test_page_text_without_article(spark, n):
     assert out[100] == out[101] == "" and out[102] == "plain text only <b" and out[103] == "a" and out[104] == "T x"
 
 
+@pytest.mark.parametrize("shared", ["http://mirror.example.org/", "no address "])
+def test_page_text_of_many_copies_of_one_page(spark, shared):
+    page = "<html><body><nav>Seen {i} times</nav><article><h1>The title</h1><p>The only paragraph.</p></article></body></html>"
+    rows = [(i, f"{shared}{i}", page.format(i=i)) for i in range(25)]
+    # Pages that differ still lose what they share.
+    rows += [(100 + i, f"http://news.example.org/{i}", page.replace("The only", f"Paragraph {i}, the only").format(i=i)) for i in range(25)]
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {out[i] for i in range(25)} == {"The title The only paragraph."}
+    assert all(out[100 + i] == f"Paragraph {i}, the only paragraph." for i in range(25))
+
+
 def test_wrapper_folds_repeats_and_optionals():
     a = html.wrap(html.parse("<div><h2>a</h2><p>x</p><h2>b</h2><p>y</p></div>"))
     b = html.wrap(html.parse("<div><h2>a</h2><p>x</p><table><tr><td>1</table></div>"))

@@ -6,7 +6,8 @@ level by level, neighbours that repeat (periods of up to PERIOD tags) become a r
 optional, and differing text becomes a slot. Aligning is done for partitions first, then for groups of partitions, then for hosts,
 so that all pages take part and no task holds a host's pages. In the wrapper the main region is chosen once a
 host: the article or main element with the most text, else the element down to which the text concentrates. Each page then gives
-the text of that region, without boilerplate elements in it and without slots whose text is one constant on many pages.
+the text of that region, without boilerplate elements in it and without slots whose text is one constant while the region's text differs: copies of
+one page count once, however many there are.
 
 A page that lacks its host's region is treated by its own wrapper. Null and empty pages give an empty text. Repeated rows are
 treated each.
@@ -42,7 +43,7 @@ _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"(
 _SPACE = re.compile(r"\s+")
 _TAG_START = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 PERIOD = 4
-MIN_PAGES = 20  # a slot is constant template text only if this many pages agree
+MIN_TEXTS = 20  # a slot is constant template text only if the region has this many different texts
 SALTS = 256
 
 
@@ -117,15 +118,36 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is a dict: k key, t tag, b boiler, n pages, o optional, r repeated, c children, s constant text's hash (text slots), len characters.
+# A wrapper node is a dict: k key, t tag, b boiler, n pages, o optional, r repeated, c children, s constant text's hash (text slots), len characters,
+# d the least MIN_TEXTS hashes of its different texts without boilerplate (elements that can be or hold a region).
 def wrap(node: Node) -> dict:
-    kids = []
+    return _wrap(node)[0]
+
+
+def _wrap(node: Node) -> tuple[dict, str]:
+    """The wrapper of a page's element, and the hash of its text without boilerplate."""
+    kids, texts = [], []
     for x in node.items:
         if isinstance(x, str):
-            kids.append({"k": "#text", "n": 1, "o": 0, "r": 0, "s": xxhash.xxh3_64_hexdigest(x), "len": len(x)})
+            s = xxhash.xxh3_64_hexdigest(x)
+            kids.append({"k": "#text", "n": 1, "o": 0, "r": 0, "s": s, "len": len(x)})
+            texts.append(s)
         else:
-            kids.append(wrap(x))
-    return {"k": node.key, "t": node.tag, "b": int(node.boiler), "n": 1, "o": 0, "r": 0, "c": fold(kids)}
+            kid, s = _wrap(x)
+            kids.append(kid)
+            if not x.boiler:
+                texts.append(s)
+    text = xxhash.xxh3_64_hexdigest(" ".join(texts))
+    out = {"k": node.key, "t": node.tag, "b": int(node.boiler), "n": 1, "o": 0, "r": 0, "c": fold(kids)}
+    if not node.boiler and node.tag not in _LEAVES:
+        out["d"] = [text]
+    return out, text
+
+
+def _texts(a: dict, b: dict, pages: int) -> list[str]:
+    if not pages and len(a["d"]) == len(b["d"]) == 1:  # neighbours on one page make one text
+        return [xxhash.xxh3_64_hexdigest(a["d"][0] + b["d"][0])]
+    return sorted({*a["d"], *b["d"]})[:MIN_TEXTS]
 
 
 def fold(kids: list[dict]) -> list[dict]:
@@ -153,7 +175,8 @@ def align(a: dict, b: dict, pages: int = 1) -> dict:
     out = {"k": a["k"], "n": a["n"] + b["n"] if pages else max(a["n"], b["n"]), "o": a["o"] | b["o"], "r": a["r"] | b["r"]}
     if a["k"] == "#text":
         return out | {"s": a["s"] if a["s"] == b["s"] else "", "len": a["len"] + b["len"]}
-    return out | {"t": a["t"], "b": a["b"], "c": _align_lists(a["c"], b["c"], pages)}
+    out |= {"t": a["t"], "b": a["b"], "c": _align_lists(a["c"], b["c"], pages)}
+    return out | {"d": _texts(a, b, pages)} if "d" in a and "d" in b else out
 
 
 def _align_lists(x: list[dict], y: list[dict], pages: int) -> list[dict]:
@@ -214,12 +237,13 @@ def region(wrapper: dict) -> tuple[list[str], list[str]]:
     def constants(node):
         for c in node.get("c", ()):
             if c["k"] == "#text":
-                if c["s"] and not c["r"] and c["n"] >= MIN_PAGES and c["n"] == wrapper["n"]:
+                if c["s"] and not c["r"] and c["n"] == wrapper["n"]:
                     constant.append(c["s"])
             elif not c["b"] and not c["r"]:
                 constants(c)
 
-    constants(node)
+    if len(node.get("d", ())) >= MIN_TEXTS:
+        constants(node)
     return path, constant
 
 
