@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,26 @@ def test_secrets_are_redacted_and_clean_texts_kept(docs_of):
     assert out[1]["text"] == "clean text" and out[2]["text"] is None and out[3]["text"] == ""
 
 
+def test_secret_scan_grows_in_proportion(docs_of):
+    """Long candidates, runs of letters, many findings and paths of many parts end in seconds; what they yield is right."""
+    rng = random.Random(11)
+    b64 = "".join(rng.choice(secrets.ALPHABET) for _ in range(100_000))
+    texts = [b64, "z" * 1_000_000, "deadbeef00112233 " * 30_000, "/".join(["part"] * 50_000) + "/1", "x" * 6 + "-" * 390 + "9Z", "1" + "-" * 100_000 + "xxxxxx", "é " * 300_000 + "password=abcdefghijkl1"]
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.secret_digest(docs_of(texts)).collect()}
+    red = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_of(texts)).collect()}
+    assert time.time() - began < 120
+    assert got[0]["spans"].startswith("entropy:") and got[2]["n_hex"] == 30_000 and got[1]["spans"] == got[3]["spans"] == ""
+    assert red[2] == "[SECRET] " * 30_000 and red[1] == texts[1] and red[6] == "é " * 300_000 + "[SECRET]"
+
+
+def test_secret_scan_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefghijkl1", "mine", "also"), (None, None, None, None)], "doc_id long, text string, _secrets string, block string")
+    rows = secrets.redact_secrets(docs).collect()
+    assert [tuple(r) for r in rows] == [(1, "[SECRET]", "mine", "also"), (None, None, None, None)]
+    assert secrets.redact_secrets(docs.limit(0)).count() == secrets.secret_digest(docs.limit(0)).count() == 0
+
+
 def test_sharding_laws(docs_of, spark):
     texts = {i: t for i, t in enumerate(["same"] * 150 + ODD + [str(i) * (i % 50) for i in range(400)])}
     out = sharding.shard_digest(docs_of(texts)).collect()
