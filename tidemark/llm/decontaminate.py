@@ -6,8 +6,12 @@ their exact hits in one pass over each text. Every hit fixes where the item woul
 distance verifies that window. Hits that fall into one window are verified once.
 
 Texts and items are lower-cased and reduced to words joined by one blank, with a blank at either end, so
-that items match at word borders. Null and empty texts match nothing; empty items are skipped. Equal items are
-reported each. Items go to the tasks in blocks of bounded size, each block against all documents.
+that items match at word borders. An item of fewer than RATE characters is allowed no edit: it is found as the words it is,
+even where that is one common word. Null and empty texts match nothing; empty items are skipped. Equal items are
+reported each, and repeated rows too. Items go to the tasks in blocks of bounded size, each block against all documents; a worker
+keeps the automaton of the last block only.
+
+A hit is passed over only if its item's window there was verified before: windows are kept by the starts they cover.
 """
 
 from __future__ import annotations
@@ -128,7 +132,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: int = RATE) -> DataFrame
 
 def _matcher(block: list, rate: int) -> Matcher:
     key = hash((tuple(block), rate))
-    return _matchers.get(key) or _matchers.setdefault(key, Matcher(block, rate))
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(block, rate)
+    return _matchers[key]
 
 
 def _matching(shared, rate: int):
