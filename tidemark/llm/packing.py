@@ -7,12 +7,14 @@ the longest length left, a bitset subset-sum dynamic program over the lengths st
 fullest combination; it is used as often as the counts allow and removed. Pieces then find their bin by
 (length, rank) in the resulting plan. The packing is that of the whole corpus, with no bucket borders.
 
-A null or empty text is its end token alone. Repeated rows are packed each. An empty table packs nothing.
+A null or empty text is its end token alone. Repeated rows are packed each. An empty table packs nothing. A text of any length
+is encoded whole; only its ids, not its row, are cut into pieces.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 
 import numpy as np
@@ -35,9 +37,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+LONG_RUN = 500
+_LONG = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 class _Encoder:
     """Text -> its ids as little-endian unsigned 32-bit. Texts are encoded by the rank form of the same vocabulary, which
-    gives the same ids several times faster; a text that spells a special token goes to the tokenizer itself."""
+    gives the same ids several times faster. A text that spells a special token goes to the tokenizer itself, and so does one
+    with a run of LONG_RUN blanks, which the rank form can't split, or that it can't encode for another reason."""
 
     def __init__(self, definition: str):
         import public_tokenizers
@@ -51,13 +58,16 @@ class _Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if any(t in text for t in self.special):
-            if self.tokenizer is None:
-                from tokenizers import Tokenizer
-
-                self.tokenizer = Tokenizer.from_str(self.definition)
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if not any(t in text for t in self.special) and not _LONG.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:
+                pass  # the splitting pattern gave up; the tokenizer doesn't use it
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.definition)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def _byte_of_char() -> dict[str, int]:
