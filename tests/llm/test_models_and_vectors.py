@@ -113,6 +113,16 @@ def test_token_counts_of_texts(docs_of):
         assert got[i] == (len(w), sum(greedy(x.encode(), vocab) for x in w), len((t or "").encode()))
 
 
+def test_token_counts_of_vocabularies_that_agree_at_their_ends(docs_of):
+    single = [bytes([b]) for b in range(256)]
+    one, two = sorted([*single, b"abc", b"xyz"]), sorted([*single, b"acb", b"xyz"])
+    docs = docs_of(["abc abc", "acb", None, "abc"])
+    for vocab in (one, two, one):
+        got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, vocab).collect()}
+        assert got == {i: sum(greedy(w.encode(), set(vocab)) for w in (t or "").split()) for i, t in enumerate(["abc abc", "acb", None, "abc"])}
+    assert tokencount.count_tokens(docs_of([])).count() == 0
+
+
 def auc(scores, labels):
     order = np.argsort(scores)
     ranks = np.empty(len(scores))

@@ -126,12 +126,29 @@ def test_sharding_laws(docs_of, spark):
     few = sharding.shuffle_into_shards(docs_of(texts), 3, bucket_bytes=500)
     got = defaultdict(list)
     for r in few.collect():
-        got[r["__shard"]].append(r["__slot"])
+        got[r["shard"]].append(r["slot"])
         assert r["text"] == texts[r["doc_id"]]
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
     assert sharding.shard_digest(docs_of([])).count() == 0
 
 
+def test_sharding_spreads_one_id_and_keeps_columns(spark, tmp_path):
+    rows = [(None, f"text {i}", i, "a") for i in range(400)] + [(7, f"text {i % 3}", i, "b") for i in range(400)] + [(7, None, 0, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bucket long, _order string")
+    out = sharding.shuffle_into_shards(docs, 4, bucket_bytes=300)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    assert Counter(tuple(r)[:4] for r in out.collect()) == Counter(rows) and out.columns == [*docs.columns, "shard", "slot"]
+    assert len({r["_bucket"] for r in out.where("doc_id is null and slot < 40").collect()}) >= 10
+    with pytest.raises(ValueError):
+        sharding.shuffle_into_shards(docs.withColumnRenamed("_bucket", "shard"), 4)
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4, bucket_bytes=300)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r[0], r[1]) for r in rows)
+
+
 def test_packing_round_trip(docs_of):
     from tokenizers import Tokenizer
 
@@ -164,6 +181,24 @@ def test_packing_round_trip(docs_of):
     assert digest == {(r["doc_id"], r["piece"]): zlib.crc32(r["ids"]) for r in out}
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, ("x" + " " * 499) * 500 + "y", " " * 300_000 + "<|endoftext|>", "z" * 500_000])
+def test_long_runs_are_encoded_as_the_tokenizer_does(text):
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        encoder = packing._Encoder(f.read())
+    want = Tokenizer.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == want
+
+
+def test_packing_odd_tables(spark, docs_of):
+    assert packing.packing_digest(docs_of([])).count() == 0
+    docs = spark.createDataFrame([(1, "a", 5, "x")] * 3 + [(None, None, 6, "y"), (2, " " * 100_000, 7, "z")], "doc_id long, text string, piece long, part string")
+    out = packing.packing_digest(docs).collect()
+    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter({1: 3, None: 1, 2: 1})
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(out)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fullest_combination_is_optimal(seed):
     rng = random.Random(seed)
@@ -334,6 +369,31 @@ def test_leaks_of_items_that_repeat_a_phrase():
         assert bool(find(text)) == want, text
 
 
+def test_leaks_of_periodic_items():
+    found = decontaminate.Matcher([(1, "abc abd abc abd abc abd")], decontaminate.RATE).find("zebra zebra  abc qbd abc abd abc abd  lemon")
+    assert [(i, d) for i, d, _, _ in found] == [(1, 1)]
+    rng = random.Random(5)
+    for _ in range(600):
+        item = " ".join(rng.choice(["abc abd", "abc", "abd ab"]) for _ in range(rng.randrange(6, 16)))
+        s = list(item)
+        for _ in range(rng.randrange(0, 4)):
+            s[rng.randrange(len(s))] = rng.choice(["q", "", "ab"])
+        text = " ".join([rng.choice(["abc ", "zebra "]) * rng.randrange(3), "".join(s), rng.choice(["abd", "lemon"])])
+        p = decontaminate.normalise(item)
+        d = edit_substring(p, decontaminate.normalise(text))
+        want = [(1, d)] if d <= len(p) // decontaminate.RATE else []
+        assert [(i, x) for i, x, _, _ in decontaminate.Matcher([(1, item)], decontaminate.RATE).find(text)] == want, (item, text)
+
+
+def test_leaks_odd_tables(spark, docs_of):
+    docs = spark.createDataFrame([(1, "the same item here", "x", 1), (1, "the same item here", "x", 1), (None, "the same item here", "y", 2), (2, None, None, None), (3, "z" * 300_000, "z", 3)],
+                                 "doc_id long, text string, __id string, item_id long")
+    items = spark.createDataFrame([(5, "same item"), (5, "same item"), (None, "nowhere at all"), (6, "")], "item_id long, text string")
+    assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()) == Counter({(1, 5): 4, (None, 5): 2})
+    assert [tuple(r)[:1] for r in decontaminate.drop_leaks(docs, items).collect()] == [(2,), (3,)]
+    assert decontaminate.drop_leaks(docs.limit(0), items).count() == 0 and decontaminate.drop_leaks(docs, items.limit(0)).count() == 5
+
+
 def test_leaks_match_brute_force(spark, docs_of):
     vocab = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
     items = [" ".join(RNG.choice(vocab) for _ in range(RNG.randrange(6, 20))) for _ in range(12)] + ["", None, "one"]
