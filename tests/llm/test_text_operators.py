@@ -226,14 +226,46 @@ def brute_phrases(text, sample):
 
 
 def test_cross_parsing_counts_phrases():
-    sample = {"a": " abracadabra alakazam abra", "b": " hocus pocus fidibus hocus"}
+    rng = random.Random(9)
+    sample = {"a": "abracadabra alakazam abra", "b": "hocus pocus fidibus hocus", "j": "これは日本語の文です", "k": "이것은 한국어 문장", "z": "aaaaaaaa"}
     p = language.Parser(sample)
-    for text in ["abracadabra", "hocusabra", "zzz abra", "ÄÖ hocus", "a"]:
-        bits, letters = p.entropies([text])
-        clean = re.sub(" +", " ", language.normalise(text))
-        assert letters[0] == sum(c.isalpha() for c in text)
+    texts = ["abracadabra", "hocusabra", "zzz abra", "ÄÖ hocus", "a", "日本 hocus", "हिन्दी में"]
+    # Longer than a lane: random, a long copy of a sample, and periods that no lane falls into step with.
+    texts += ["".join(rng.choice("abr cdou") for _ in range(3000)) + "x", "abracadabra alakazam abra" * 60, "a" * 5000, "aab" * 2000, "これは日本語" * 300]
+    bits, letters = p.entropies(texts)
+    for row, n, text in zip(bits, letters, texts, strict=True):
+        clean, count = language.normalise(text)
+        assert n == count == sum(c.isalpha() for c in text)
         for k, lang in enumerate(p.langs):
-            assert bits[0, k] * len(clean) / p.bits[k] == pytest.approx(brute_phrases(clean, sample[lang]))
+            assert row[k] * len(clean) / p.bits[k] == pytest.approx(brute_phrases(clean, language.normalise(sample[lang])[0]))
+
+
+def test_normalised_texts_keep_letters_and_marks():
+    assert language.normalise("12 Die\t\tKatze, 3 हिन्दी!") == ("die katze हिन्दी ".encode(), 11)
+    assert language.normalise("") == (b"", 0) and language.normalise("\u0301 1") == ("\u0301 ".encode(), 0)
+
+
+def test_language_learns_from_long_texts_of_any_script(spark, docs_of):
+    words = {"en": "the cat and dog went out to see what they could of old town", "ja": "これ は 日本語 の 文 です そして 長い もの", "ko": "이것 은 한국어 문장 이고 길다 그리고 또", "zh": "这 是 中文 的 句子 而且 很 长 我们",
+             "am": "ይህ የአማርኛ ጽሑፍ ነው ረጅም እና ሌላ " + " ".join(chr(0x1200 + i) for i in range(330) if chr(0x1200 + i).isalpha())}
+    rng = random.Random(2)
+    texts, langs = {}, {}
+    for k, (lang, w) in enumerate(words.items()):
+        w = w.split()
+        for i in range(8):  # all longer than the sample
+            texts[100 * k + i], langs[100 * k + i] = " ".join(rng.choice(w) for _ in range(12_000)), lang
+        for i in range(8, 12):
+            texts[100 * k + i], langs[100 * k + i] = " ".join(rng.choice(w) for _ in range(9)), lang
+    docs = docs_of(texts, langs)
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs, F.col("doc_id") % 100 < 8).collect()}
+    assert got == langs
+    rows = docs.limit(3).withColumns({"score": F.lit("mine"), "LANG_PRED": F.lit(1), "_score": F.lit(2.5)})
+    kept = language.keep_known(rows.unionByName(rows.withColumn("text", F.lit("12"))), F.lit(True))
+    assert kept.columns == rows.columns and sorted(kept.collect()) == sorted(rows.collect())
+    with pytest.raises(ValueError):
+        language.identify(rows, {}, keep=tuple(rows.columns))
 
 
 def test_language_held_out(spark):

@@ -3,71 +3,120 @@
 For each language a suffix automaton of a bounded sample of labelled text recognises every substring of it. A
 text is parsed against each automaton into the longest phrases the sample contains; the language that needs
 the fewest phrases, normalised by the information in a phrase's position (log2 of the sample's length) and by the
-text's length, wins. Texts are cut into lanes of LANE letters that are parsed side by side (numpy), so
-that each step of the automaton is one table lookup for thousands of lanes; every letter of every text is parsed.
+text's length, wins. Texts and samples are sequences of UTF-8 bytes, so that every script has its own symbols in a small alphabet.
 
-Texts are lower-cased, and each run of other characters than letters becomes one blank. A null text or one
-without a letter is `und` with score 0. Ties go to the first language by name.
+Texts are cut into lanes of LANE bytes that are parsed side by side (numpy), so that each step of the automaton is one
+table lookup for thousands of lanes. A lane starts in the state in which the lane before it ends: lanes are parsed from the
+root first, then those whose start turns out to be another state once more, and what still changes after PASSES rounds is parsed
+lane by lane. The phrases are therefore those of the whole text, whatever its length.
+
+Texts are lower-cased, and each run of characters that are neither letters nor marks becomes one blank. A null text or one
+without a letter is `und` with score 0, and so is every text if nothing labelled was learned. Ties go to the first language by
+name. Rows are decided each by its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of labelled text kept for each language, and about how many documents they are drawn from.
+from .common import free_name
+
+#: Characters of labelled text kept for each language. A document lends one window of at most WINDOW_CHARS characters, at a
+#: place that its hash decides, so texts of any length take part; DRAWN times the wanted characters are drawn by hash.
 SAMPLE_CHARS = 30_000
-SAMPLE_DOCS = 150
+WINDOW_CHARS = 1_500
+DRAWN = 4
 LANE = 256
+PASSES = 3
 UNKNOWN = "und"
-_LIMIT = 0x3000
+_kinds: list[np.ndarray] = []
+
 
+def _kind() -> np.ndarray:
+    """By code point: 2 for letters, 1 for marks, 0 for others."""
+    if not _kinds:
+        by = {"L": 2, "M": 1}
+        _kinds.append(np.fromiter((by.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), dtype=np.uint8, count=0x110000))
+    return _kinds[0]
 
-def normalise(text: str) -> str:
-    return "".join(c if c.isalpha() else " " for c in text.lower())
 
+def normalise(text: str) -> tuple[bytes, int]:
+    """The text's letters and marks as lower-case UTF-8 with single blanks between, and the number of its letters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _kind()[points]
+    letters = int(np.count_nonzero(kind == 2))
+    keep = kind > 0
+    keep[1:] |= kind[:-1] > 0  # of a run of others the first one stays, as a blank
+    out = np.where(kind > 0, points, np.uint32(32))[keep]
+    return out.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), letters
 
-def labelled_sample(docs: DataFrame, train, chars: int = SAMPLE_CHARS, n_docs: int = SAMPLE_DOCS, seed: int = 7) -> dict[str, str]:
-    """Whole texts in hash order until `chars` characters are reached, for each language.
 
-    The share of documents drawn follows from the counts, so about n_docs rows a language reach the driver."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def labelled_sample(docs: DataFrame, train, chars: int = SAMPLE_CHARS, window: int = WINDOW_CHARS, seed: int = 7) -> dict[str, str]:
+    """For each language windows of labelled texts, in hash order, until `chars` characters are reached.
+
+    The share of documents drawn follows from the sum of their windows, so about DRAWN * chars characters a language reach the driver."""
+    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.col("doc_id").alias("id"))
+    size = F.length("text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.least(size, F.lit(window))).alias("n")).collect()}
     share = F.lit(0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, n_docs / n) * 1_000_000))).otherwise(share)
-    picked = known.select("lang", "doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("h")).where(
-        (F.pmod("h", F.lit(1_000_000)) < share) & (F.length("text") <= chars))
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, DRAWN * chars / max(n, 1)) * 1_000_000))).otherwise(share)
+    drawn = known.withColumn("h", F.xxhash64(F.lit(seed), "id", F.crc32("text"))).where(F.pmod("h", F.lit(1_000_000)) < share)
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.greatest(size - window + 1, F.lit(1))).cast("int")
     out: dict[str, str] = {}
-    for r in picked.orderBy("h", "doc_id").select("lang", "text").toLocalIterator():
+    for r in drawn.select("lang", "h", F.substr("text", start + 1, F.lit(window)).alias("w")).orderBy("h", "w").toLocalIterator():
         if len(have := out.get(r["lang"], "")) < chars:
-            out[r["lang"]] = have + " " + " ".join(normalise(r["text"]).split())
-    return {k: out[k] for k in sorted(out) if out[k].strip()}
+            out[r["lang"]] = have + " " + r["w"]
+    return {k: out[k] for k in sorted(out) if any(c.isalpha() for c in out[k])}
 
 
 class Parser:
-    """Transition tables of the suffix automata, one for each language."""
+    """The automata of all languages."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        letters = sorted({c for s in samples.values() for c in s if ord(c) < _LIMIT} - {" "})
-        self.other, self.pad, self.width = len(letters) + 1, len(letters) + 2, len(letters) + 3  # 0: blank; other: a letter no sample has
-        self.symbols = np.array([self.other if chr(i).isalpha() else 0 for i in range(_LIMIT)] + [self.other], dtype=np.uint8)
-        for k, c in enumerate(letters):
-            self.symbols[ord(c)] = k + 1
-        code = {c: k + 1 for k, c in enumerate(letters)} | {" ": 0}
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            s = samples[lang]
-            self.tables.append(self._table([code.get(c, self.other) for c in s]))
-            self.bits.append(float(np.log2(max(2, len(s)))))
-
-    def _table(self, s: list[int]) -> np.ndarray:
+        made = [normalise(samples[lang])[0] for lang in self.langs]
+        self.tables = [Automaton(s) for s in made]
+        self.bits = [float(np.log2(max(2, len(s)))) for s in made]
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a byte by text and language, and the letters of each text."""
+        clean, letters = [], np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            s, letters[i] = normalise(text)
+            clean.append(s if letters[i] else b"")
+        size = np.array([len(s) for s in clean], dtype=np.int64)
+        lanes_of = -(-size // LANE)
+        owner = np.repeat(np.arange(len(texts)), lanes_of)
+        lanes = np.frombuffer(b"".join(s.ljust(int(n) * LANE, b"\xff") for s, n in zip(clean, lanes_of, strict=True)), dtype=np.uint8).reshape(-1, LANE)
+        first = np.ones(len(owner), dtype=bool)
+        first[1:] = owner[1:] != owner[:-1]
+        out = np.zeros((len(texts), len(self.langs)))
+        for k, table in enumerate(self.tables):
+            out[:, k] = np.bincount(owner, weights=table.phrases(lanes, first), minlength=len(texts))[: len(texts)] * self.bits[k]
+        return out / np.maximum(size, 1)[:, None], letters
+
+
+class Automaton:
+    """Suffix automaton of a sample as a table: row offset of a state + symbol -> row offset of the next state; inverted (~) where a phrase starts.
+
+    Symbols: the sample's own bytes, one for bytes it lacks (a phrase by itself), one for padding (nothing happens). 0xff, which UTF-8
+    doesn't use, pads."""
+
+    def __init__(self, sample: bytes):
+        own = sorted(set(sample))
+        other, pad, width = len(own), len(own) + 1, len(own) + 2
+        self.symbol = np.full(256, other, dtype=np.uint8)
+        self.symbol[own] = np.arange(len(own))
+        self.symbol[0xFF] = pad
         nxt, link, length, last = [{}], [-1], [0], 0
-        for c in s:
+        for c in self.symbol[np.frombuffer(sample, dtype=np.uint8)].tolist():
             cur = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
@@ -90,72 +139,75 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        # ~state marks the start of a phrase: at the root, or with the letter that missed.
-        start = np.zeros(self.width, dtype=np.int32)
+        start = np.zeros(width, dtype=np.int32)
         for c, t in nxt[0].items():
             start[c] = t
-        table = np.tile(~start, (len(nxt), 1))
+        table = np.tile(~(start * width), (len(nxt), 1))
         for i, moves in enumerate(nxt):
             for c, t in moves.items() if i else ():
-                table[i, c] = t
-            table[i, self.pad] = i
-        table[:, self.other] = ~0
-        return (np.where(table < 0, ~(~table * self.width), table * self.width)).astype(np.int32).ravel()
-
-    def lanes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lane x LANE symbols, lane's text, letters of each text, symbols of each text)"""
-        pieces, owner, letters, size = [], [], np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            s = self.symbols[np.minimum(points, _LIMIT)]
-            if (odd := points >= _LIMIT).any():
-                s = s.copy()
-                s[odd] = [self.other if chr(p).isalpha() else 0 for p in points[odd]]
-            keep = s != 0
-            letters[i] = np.count_nonzero(keep)
-            if not letters[i]:
-                continue
-            keep[1:] |= s[:-1] != 0
-            s = s[keep]
-            size[i] = len(s)
-            n = -(-len(s) // LANE)
-            lane = np.full(n * LANE, self.pad, dtype=np.uint8)
-            lane[: len(s)] = s
-            pieces.append(lane.reshape(n, LANE))
-            owner.append(np.full(n, i))
-        if not pieces:
-            return np.zeros((0, LANE), dtype=np.uint8), np.zeros(0, dtype=np.int64), letters, size
-        return np.concatenate(pieces), np.concatenate(owner), letters, size
-
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a symbol by text and language, and the letters of each text."""
-        lanes, owner, letters, size = self.lanes(texts)
-        steps = np.ascontiguousarray(lanes.T)
-        out = np.zeros((len(texts), len(self.langs)))
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(owner), dtype=np.int32)
-            phrases = np.zeros(len(owner), dtype=np.int32)
-            for c in steps:
-                state = table[state + c]
-                begun = state >> 31  # -1 where a phrase starts
-                phrases -= begun
-                state ^= begun
-            out[:, k] = np.bincount(owner, weights=phrases, minlength=len(texts))[: len(texts)] * self.bits[k]
-        return out / np.maximum(size, 1)[:, None], letters
-
-
-_parsers: dict[tuple, Parser] = {}
-
-
-def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs plus lang_pred string and score double, row by row; no shuffle."""
+                table[i, c] = t * width
+            table[i, pad] = i * width
+        table[:, other] = ~0
+        self.table = table.astype(np.int32).ravel()
+
+    def _run(self, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases started in each lane (a column of steps) and the states at their ends."""
+        state, phrases = state.copy(), np.zeros(len(state), dtype=np.int32)
+        for c in steps:
+            state = self.table[state + c]
+            begun = state >> 31  # -1 where a phrase starts
+            phrases -= begun
+            state ^= begun
+        return phrases, state
+
+    def phrases(self, lanes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases started in each lane; `first` marks the lanes that begin a text, the others go on from the one before."""
+        symbols = self.symbol[lanes]
+        entry = np.zeros(len(lanes), dtype=np.int32)
+        count, end = self._run(np.ascontiguousarray(symbols.T), entry)
+
+        def wrong():
+            want = np.where(first, 0, np.roll(end, 1)).astype(np.int32)
+            return want, np.flatnonzero(want != entry)
+
+        for _ in range(PASSES):
+            want, redo = wrong()
+            if not len(redo):
+                return count
+            entry[redo] = want[redo]
+            count[redo], end[redo] = self._run(np.ascontiguousarray(symbols[redo].T), entry[redo])
+        want, redo = wrong()
+        table = self.table.tolist() if len(redo) else []
+        for i in redo.tolist():
+            while i < len(lanes) and not first[i] and entry[i] != end[i - 1]:  # and on to the lanes after it that this changes
+                state, n = int(end[i - 1]), 0
+                entry[i] = state
+                for c in symbols[i].tolist():
+                    state = table[state + c]
+                    if state < 0:
+                        state, n = ~state, n + 1
+                count[i], end[i] = n, state
+                i += 1
+        return count
+
+
+_parsers: dict[int, Parser] = {}
+
+
+def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs plus a string and a double named by `into`, row by row; no shuffle."""
+    if taken := {c.lower() for c in keep} & {c.lower() for c in into}:
+        raise ValueError(f"docs has columns named {sorted(taken)}; choose other names by `into`")
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
 
     def run(batches):
         samples = shared.value
-        key = tuple(hash(x) for x in samples.items())
-        parser = _parsers.get(key) or _parsers.setdefault(key, Parser(samples))
+        key = hash(tuple(samples.items()))
+        if key not in _parsers:
+            _parsers.clear()  # a worker keeps one parser
+            _parsers[key] = Parser(samples)
+        parser = _parsers[key]
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(batch.schema.names.index(text))]
             pred, score = [], []
@@ -177,7 +229,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
                     score.append(second / (second + float(row[best])))
                 at = to
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*keep, "lang_pred", "score"])
+                                             names=[*keep, *into])
 
     return docs.select(*keep, *({text} - set(keep))).mapInArrow(run, schema)
 
@@ -185,3 +237,10 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
 def predict_language(docs: DataFrame, train, chars: int = SAMPLE_CHARS) -> DataFrame:
     """Fit on the documents for which `train` holds and predict all: doc_id, lang_pred, score."""
     return identify(docs.select("doc_id", "text"), labelled_sample(docs, train, chars))
+
+
+def keep_known(docs: DataFrame, train, lang: str = "lang") -> DataFrame:
+    """docs with `lang` set to the predicted language, without the rows of texts that have no letter; all other columns stay."""
+    into = free_name(docs, "_lang_pred"), free_name(docs, "_score")
+    out = identify(docs, labelled_sample(docs, train), keep=tuple(docs.columns), into=into).where(F.col(into[0]) != UNKNOWN)
+    return out.withColumn(lang, F.col(into[0])).select(*docs.columns)
