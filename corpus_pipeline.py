@@ -7,11 +7,10 @@ again. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, staged, table
 from tidemark.llm.decontaminate import drop_leaks
-from tidemark.llm.language import UNKNOWN, identify, labelled_sample
+from tidemark.llm.language import keep_known
 from tidemark.llm.neardup import keep_first_of_groups
 from tidemark.llm.packing import packing_digest
 from tidemark.llm.secrets import redact_secrets
@@ -19,9 +18,7 @@ from tidemark.llm.secrets import redact_secrets
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (`und`) and sets lang to the predicted language."""
-    samples = labelled_sample(docs, ~held_out("doc_id", 4, 2))
-    out = identify(docs, samples, keep=tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return keep_known(docs, ~held_out("doc_id", 4, 2))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
