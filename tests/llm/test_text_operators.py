@@ -356,6 +356,31 @@ def test_rows_of_null_or_shared_ids_are_decided_on_their_own_texts(spark, docs_o
     assert left == Counter((i, t) for i, t in rows if t not in (a, c))
 
 
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (7, a.replace("a0 ", "q ")), (None, b), (None, c), (None, c), (2, d), (2, d), (None, None), (1, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row long, _dropped string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == Counter([(5, 56, 5, True), (5, 56, 5, True), (7, 56, 5, False), (None, 56, 5, False), (None, 56, None, True), (None, 56, None, True),
+                           (2, 56, 2, True), (2, 56, 2, True), (None, 0, None, True), (1, 0, 1, True)])
+    kept = neardup.keep_first_of_groups(docs)
+    assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, a), (5, b), (None, c), (2, d), (None, None), (1, "")])
+    assert neardup.keep_first_of_groups(docs.where("doc_id = 7")).count() == 1
+
+
+def test_near_duplicates_of_one_template(spark, docs_of):
+    """Texts that share most of a template but fall short of the limit make no links, those that reach it do."""
+    base = [f"t{i}" for i in range(300)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for k in range(6 if i % 10 else 2):
+            w[(40 * k + 7 * i) % 300] = f"own{i}x{k}"
+        texts[i] = " ".join(w)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(texts)).collect()}
+    assert got == brute_groups(texts)
+
+
 def test_near_duplicates_on_the_table(spark, sf):
     docs = table(spark, sf, "documents")
     want = brute_groups({r["doc_id"]: r["text"] for r in docs.collect()})

@@ -11,8 +11,10 @@ Links come in two rounds, so that a large group isn't paired up: first every mem
 bucket's hub; then, after components are known, those that share a bucket across components are joined on the
 rarest shingles of their full sets. Links inside a component can't change the result.
 
-Documents without words or text have an empty set and are linked with nothing. Repeated rows are one class.
-Rows that share doc_id count as one document in the groups; keep_first_of_groups decides on each row.
+Documents without words or text have an empty set and are linked with nothing. Repeated rows are one class. A class is known by
+the number of one of its rows in the written sketches, not by a doc_id, so rows of a null or shared doc_id are grouped each by
+its own text. The smallest doc_id of a group passes over nulls; a group of nulls alone has a null component_id. An
+empty table gives no rows, and a text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_broadcast, components, staged
+from .common import bounded_broadcast, components, free_name, staged
 
 WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4  # at similarity 0.8 no band agrees in 3 of a million pairs
@@ -68,6 +71,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     low = np.full(PERMS, 0xFFFFFFFF, dtype=np.uint32)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -77,23 +85,25 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
+    row = TaskContext.get().partitionId() << 40  # numbers of this partition's rows; they count once written
     spread = np.random.default_rng(5).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
     lane = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         ids, n, h1, h2, bands, planes = [], [], [], [], [], []
+        rows = np.arange(row, row + batch.num_rows)
+        row += batch.num_rows
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingle_set(text.as_py())
             ids.append(doc_id)
             n.append(len(s))
             if not len(s):
-                h1.append(xxhash.xxh3_64_intdigest(str(doc_id)) - (1 << 63))
-                h2.append(0)
+                h1.append(None)
+                h2.append(None)
                 bands.append(None)
                 planes.append(None)
                 continue
-            digest = xxhash.xxh3_128_intdigest(s.tobytes())
-            h1.append((digest >> 64) - (1 << 63))
-            h2.append((digest & ((1 << 64) - 1)) - (1 << 63))
+            for out, h in zip((h1, h2), _digest(s), strict=True):
+                out.append(h)
             low = minima(s)
             key = (low.reshape(BANDS, ROWS).astype(np.uint64) * spread).sum(axis=1, dtype=np.uint64) + lane
             key ^= key >> np.uint64(31)
@@ -102,14 +112,14 @@ def _sketch(batches):
             bits = np.zeros((BITS, PLANE * 64), dtype=np.uint8)
             bits[:, :PERMS] = (low[None, :] >> np.arange(BITS, dtype=np.uint32)[:, None]) & 1
             planes.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                                           pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-                                         names=["doc_id", "n_shingles", "h1", "h2", "bands", "planes"])
+                                         names=["row", "doc_id", "n_shingles", "h1", "h2", "bands", "planes"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, planes array<long>")
+        _sketch, "row long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, planes array<long>")
 
 
 def estimate(x, y):
@@ -126,15 +136,22 @@ def estimate(x, y):
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles sorted array<long>) of the documents in wanted(id), written."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded_broadcast(wanted), "id", "left_semi")
+    """(id, shingles sorted array<long>) of the classes in wanted(id, doc_id, h1, h2), written.
+
+    Texts are found by doc_id, nulls too, and told apart by the digest of their sets."""
+    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded_broadcast(ids), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
     def sets(batches):
         for b in batches:
-            full = [np.sort(shingle_set(t.as_py()).view(np.int64)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.list_(pa.int64()))], names=["id", "shingles"])
+            full = [shingle_set(t.as_py()) for t in b.column(0)]
+            keys = np.array([_digest(s) for s in full], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([np.sort(s.view(np.int64)) for s in full], pa.list_(pa.int64()))],
+                                             names=["h1", "h2", "shingles"])
 
-    return staged(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    made = texts.select("text").mapInArrow(sets, "h1 long, h2 long, shingles array<long>")
+    found = made.join(bounded_broadcast(wanted.select("h1", "h2", "id")), ["h1", "h2"])
+    return staged(found.select("id", "shingles").dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -179,40 +196,40 @@ def _prefix_pairs(full: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
     made = staged(sketches(docs), "sketches")
-    rep = staged(made.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    first = made.where("n_shingles > 0").select("doc_id", "h1", "h2", "bands", "planes").join(
-        rep.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    first = staged(first.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "bands", "planes"), "reps")
-    member = first.select("doc_id", F.explode("bands").alias("key"))
+    filled = made.where("n_shingles > 0")
+    classes = staged(filled.groupBy("h1", "h2").agg(F.min_by("row", F.coalesce("doc_id", F.lit(1 << 62))).alias("id"), F.min("doc_id").alias("doc_id")), "classes")
+    first = staged(filled.select(F.col("row").alias("id"), "bands", "planes").join(classes.select("id"), "id", "left_semi"), "reps")
+    member = first.select("id", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = staged(member.join(sizes, "key"), "members")
     # The hub of a bucket is the member that meets most others over all its buckets: of near copies, the text they come from.
-    weight = crowded.groupBy("doc_id").agg(F.sum("n").alias("w"))
-    hubs = crowded.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("best"))
-    inside = staged(crowded.join(hubs, "key").select("key", (-F.col("best.d")).alias("hub"), "doc_id"), "buckets")
+    weight = crowded.groupBy("id").agg(F.sum("n").alias("w"))
+    hubs = crowded.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("d"))).alias("best"))
+    inside = staged(crowded.join(hubs, "key").select("key", (-F.col("best.d")).alias("hub"), "id"), "buckets")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
-        side = first.select("doc_id", "planes")
-        seen = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("planes").alias("pa")), "a").join(
-            side.select(F.col("doc_id").alias("b"), F.col("planes").alias("pb")), "b")
+        side = first.select("id", "planes")
+        seen = pairs.join(side.select(F.col("id").alias("a"), F.col("planes").alias("pa")), "a").join(
+            side.select(F.col("id").alias("b"), F.col("planes").alias("pb")), "b")
         return staged(seen.where(estimate(F.col("pa"), F.col("pb")) >= percent / 100 - MARGIN).select("a", "b"), name)
 
-    to_hub = likely(inside.where("doc_id != hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "candidates")
+    to_hub = likely(inside.where("id != hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "candidates")
     wanted = to_hub.select(F.col("a").alias("id")).union(to_hub.select("b")).distinct()
-    links = staged(_confirmed(to_hub, _full_sets(docs, staged(wanted, "wanted")), percent), "links")
+    links = staged(_confirmed(to_hub, _full_sets(docs, staged(classes.join(wanted, "id"), "wanted")), percent), "links")
     group = components(links)
     # Second round: members of a bucket that are still apart.
-    now = inside.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    now = inside.join(group.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    apart = staged(now.join(mixed, "key").select(F.col("doc_id").alias("id"), "c").distinct(), "apart")
-    full = _full_sets(docs, apart.select("id"))
-    more = staged(_confirmed(_prefix_pairs(full.join(apart, "id"), percent), full, percent), "links")
+    apart = staged(now.join(mixed, "key").select("id", "c").distinct().join(classes, "id"), "apart")
+    full = _full_sets(docs, apart)
+    more = staged(_confirmed(_prefix_pairs(full.join(apart.select("id", "c"), "id"), percent), full, percent), "links")
     group = components(links.unionByName(more))
-    classes = rep.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
-    # Rows of one doc_id that are different texts share the smaller component.
-    out = made.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    comp = F.coalesce(F.col("c"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
+    grouped = staged(classes.join(group.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc_id", F.coalesce("component", "id").alias("c")), "groups")
+    smallest = grouped.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    known = grouped.select("h1", "h2", "c").join(smallest, "c").select("h1", "h2", "component_id")
+    out = made.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2"], "left")
+    comp = F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_first_of_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -220,23 +237,25 @@ def keep_first_of_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Each row is decided on its own text, also where a doc_id is null or shared by different texts; of a group the row with the
     smallest doc_id (nulls last) stays. Rows of an empty set go only if they repeat the text and non-null doc_id of another."""
-    shared = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count()
     if shared:
         return _first_rows(docs, percent)
-    dropped = staged(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__id")), "dropped")
-    return docs.join(bounded_broadcast(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    name = free_name(docs, "_dropped")
+    dropped = staged(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(name)), "dropped")
+    return docs.join(bounded_broadcast(dropped), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def _first_rows(docs: DataFrame, percent: int) -> DataFrame:
     """One row of each group of rows, where doc_id does not tell rows apart: they get numbers, which are written."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    made = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
-    groups = made.select(F.col("doc_id").alias("__row"), (F.col("n_shingles") == 0).alias("empty"), "component_id")
+    row = free_name(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    made = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+    groups = made.select(F.col("doc_id").alias("row"), (F.col("n_shingles") == 0).alias("empty"), "component_id")
     empty = lambda c: F.when(F.col("empty"), c)
     same = [F.when(~F.col("empty"), F.col("component_id")).alias("group"), empty(F.col("doc_id")).alias("id"), empty(F.col("content")).alias("content"),
-            empty(F.when(F.col("doc_id").isNull(), F.col("__row"))).alias("alone")]
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
-    first = rows.select("__row", "doc_id", F.xxhash64("text").alias("content"), order.alias("order")).join(groups, "__row").groupBy(*same).agg(
+            empty(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("alone")]
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("row"))
+    first = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("content"), order.alias("order")).join(groups, "row").groupBy(*same).agg(
         F.min("order").alias("first"))
-    first = staged(first.select(F.col("first.__row").alias("__row")), "first")
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    first = staged(first.select(F.col("first.row").alias(row)), "first")
+    return rows.join(first, row, "left_semi").select(*docs.columns)
