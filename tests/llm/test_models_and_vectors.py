@@ -56,6 +56,29 @@ def test_embedding_groups_match_brute_force(spark, monkeypatch):
     assert embeddings.embedding_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_embedding_links_of_large_groups_and_large_labels(spark, tmp_path):
+    """A group of 700 near copies, 60 planted pairs at cosine 0.93 to 0.95 and 12,000 other vectors under one label, against all pairs in numpy."""
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((12_000, 32)))
+    side = rng.standard_normal((60, 32))
+    side = unit(side - (side * x[:60]).sum(axis=1, keepdims=True) * x[:60])
+    cos = rng.uniform(0.931, 0.95, (60, 1))
+    near = unit(rng.standard_normal(32))
+    x = np.concatenate([x, cos * x[:60] + np.sqrt(1 - cos**2) * side, unit(near + 0.04 * rng.standard_normal((700, 32)))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1), (5, x[1].tolist(), 1)]
+    got = embeddings.embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
+    y = unit(x.astype(np.float64))
+    want = {(i, n) for i, n in enumerate((y @ y.T >= 0.93).sum(axis=1) - 1)}
+    missed = sum((i, n) not in {(r["vec_id"], r["n_links"]) for r in got} for i, n in want if i > 1)
+    assert missed <= 2 and len(got) == len(rows)
+    one = {r["component_id"] for r in got if r["vec_id"] is not None and r["vec_id"] >= 12_060}
+    assert len(one) == 1 and sum(r["component_id"] == min(one) for r in got) >= 700
+    (null,) = [r for r in got if r["vec_id"] is None]
+    assert null["component_id"] == 0 and not null["kept"] and null["n_links"] == 2  # vector 0 and its planted partner
+    assert sum(r["vec_id"] == 5 for r in got) == 2 and {r["component_id"] for r in got if r["vec_id"] == 5} == {1, 5}
+
+
 def test_embedding_recall_on_the_table(spark, sf):
     df = table(spark, sf, "embeddings")
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]

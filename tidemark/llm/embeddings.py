@@ -8,8 +8,14 @@ holds about CAP vectors of a label whatever its size. Narrower caps are shared m
 a vector is listed to (on average, and at least) grows with the logarithm of that number.
 
 Equal vectors of one label form a class at once; one vector of a class goes on and counts for all. Caps with more
-than CHUNK vectors are split into chunks that meet pairwise in separate tasks. Vectors without label, null,
-zero, or with null or non-finite components link with nothing. Each row counts as a vector, repeated ones too.
+than CHUNK vectors are split into chunks that meet pairwise in separate tasks. A pair that meets in several caps is counted in the
+one of the smallest number, which each side finds from the numbers of its own smaller caps. Where vectors meet, no pair
+is written: a meeting gives for each vector how many it links to there, and for each connected part of its links one edge from its
+first vector to each other one. So the rows grow with vectors and caps, also in a large group of near copies.
+
+Vectors without label, null, zero, or with null or non-finite components link with nothing. Each row counts as a vector,
+repeated ones and those of a null or shared vec_id too; the smallest vec_id of a group passes over nulls. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_broadcast, components, staged
 
@@ -73,30 +80,71 @@ def _matrix(col, n: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
 
 
-def _pairs_of(rep: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: float):
-    s = x[left] @ x[right].T
-    i, j = np.nonzero(s >= least)
-    p, q = rep[left][i], rep[right][j]
-    if same:
-        keep = p < q
-        p, q = p[keep], q[keep]
-    return np.minimum(p, q), np.maximum(p, q)
-
-
-def _verify(least: float):
+def _unshared(i: np.ndarray, j: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Whether the lists of rows i and j have nothing in common, for each pair."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    values = np.concatenate([lists[r] for r in rows])
+    caps, where, n = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), [len(lists[r]) for r in rows])
+    often = n > 1
+    column = np.cumsum(often) - 1
+    keep = often[where]
+    owner, where = owner[keep], column[where[keep]]
+    shared = np.zeros((len(rows), len(rows)), dtype=bool)
+    for start in range(0, int(often.sum()), 1024):  # a block of caps at a time
+        block = (where >= start) & (where < start + 1024)
+        has = np.zeros((len(rows), 1024), dtype=np.float32)
+        has[owner[block], where[block] - start] = 1
+        shared |= has @ has.T > 0
+    return ~shared[at[: len(i)], at[len(i) :]]
+
+
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the first one it is connected to by the edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def _meeting(rows: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the vectors of one (label, dim, cap, chunks) meeting give: vectors and the links counted there, edges (a, b)."""
+    rep, side, copies = (rows.column(k).to_numpy() for k in ("rep", "side", "copies"))
+    x = _matrix(rows.column("embedding"), rows.num_rows)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    left = np.flatnonzero(side == 0)
+    right = left if len(left) == len(side) else np.flatnonzero(side == 1)
+    i, j = np.nonzero(x[left] @ x[right].T >= least)
+    i, j = left[i], right[j]
+    if right is left:
+        i, j = i[i < j], j[i < j]
+    if not len(i):
+        return (rep[:0],) * 4
+    lists = rows.column("smaller")
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    owned = _unshared(i, j, [values[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+    links = np.bincount(i[owned], copies[j[owned]], len(rep)) + np.bincount(j[owned], copies[i[owned]], len(rep))
+    some, root = np.flatnonzero(links), _roots(i, j, len(rep))
+    tied = np.flatnonzero(root != np.arange(len(rep)))
+    return rep[some], links[some].astype(np.int64), rep[root[tied]], rep[tied]
+
+
+def _meet(least: float):
     def run(batches):
         kept: list[pa.RecordBatch] = []
 
-        def close(batches):
-            """Links in one (label, dim, cap, chunks) group."""
-            t = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-            rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
-            x = _matrix(t.column("embedding"), t.num_rows)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            everything = np.arange(len(rep))
-            if side.min() == side.max():
-                return _pairs_of(rep, x, everything, everything, True, least)
-            return _pairs_of(rep, x, everything[side == 0], everything[side == 1], False, least)
+        def close():
+            if sum(b.num_rows for b in kept) < 2:
+                return None
+            rep, links, a, b = _meeting(pa.Table.from_batches(kept).combine_chunks().to_batches()[0], least)
+            if not len(a) and not len(rep):
+                return None
+            edges = pa.array(np.concatenate([rep, b])), pa.array(np.concatenate([np.zeros(len(rep), np.int64), a]), mask=np.arange(len(rep) + len(a)) < len(rep))
+            return pa.RecordBatch.from_arrays([*edges, pa.array(np.concatenate([links, np.zeros(len(a), np.int64)]))], names=["rep", "root", "links"])
 
         keys, current = ("label", "dim", "cap", "lo", "hi"), None
         for batch in batches:
@@ -105,47 +153,48 @@ def _verify(least: float):
             values = np.stack([batch.column(k).to_numpy() for k in keys])
             starts = np.flatnonzero(np.any(values[:, 1:] != values[:, :-1], axis=0)) + 1
             bounds = [0, *starts.tolist(), batch.num_rows]
-            a, b = [], []
             for s, e in zip(bounds, bounds[1:], strict=False):
                 key = tuple(values[:, s])
                 if kept and key != current:
-                    if sum(x.num_rows for x in kept) > 1:
-                        p, q = close(kept)
-                        a.append(p)
-                        b.append(q)
-                    kept = []
+                    if (out := close()) is not None:
+                        yield out
+                    kept.clear()
                 current = key
                 kept.append(batch.slice(s, e - s))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        if sum(x.num_rows for x in kept) > 1:
-            p, q = close(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
+        if (out := close()) is not None:
+            yield out
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.93, cap: int = CAP) -> DataFrame:
-    """Distinct links (a < b) among vectors(rep long, label, dim int, embedding) of one label and dimension."""
+def meetings(vectors: DataFrame, least: float = 0.93, cap: int = CAP) -> DataFrame:
+    """From vectors(rep long, label long, dim int, embedding, copies long): rows (rep, null, links to other vectors, copies counted) and
+    (rep, root, 0), an edge of the graph of links. A rep has several rows of links, to be summed."""
     largest = vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     k, z, listed = caps(largest, cap)
+    number = (pa.int32(), "int") if k * k < 1 << 31 else (pa.int64(), "long")
+    carried = ("rep", "label", "dim", "embedding", "copies")
 
     def lists(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                rows = batch.filter(pa.array(dims == dim))
-                x = _matrix(rows.column("embedding"), rows.num_rows)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = decode(x, code(int(dim), k), z / math.sqrt(dim), listed)
-                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(at)), rows.column("label").take(pa.array(at)),
-                                                  rows.column("dim").take(pa.array(at)), pa.array(np.concatenate(found)),
-                                                  rows.column("embedding").take(pa.array(at))], names=["rep", "label", "dim", "cap", "embedding"])
+                of_dim = batch.filter(pa.array(dims == dim))
+                for start in range(0, of_dim.num_rows, 256):
+                    rows = of_dim.slice(start, 256)
+                    x = _matrix(rows.column("embedding"), rows.num_rows)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    found = [np.sort(f) for f in decode(x, code(int(dim), k), z / math.sqrt(dim), listed)]
+                    at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                    before = np.concatenate([np.arange(len(f)) for f in found])  # how many caps of smaller number each cap's row names
+                    smaller = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(before)]).astype(np.int32)),
+                                                       pa.array(np.concatenate([f[np.tril_indices(len(f), -1)[1]] for f in found]), number[0]))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in carried), pa.array(np.concatenate(found)), smaller],
+                                                     names=[*carried, "cap", "smaller"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    members = vectors.select("rep", F.col("label").cast("long").alias("label"), "dim", "embedding").mapInArrow(
-        lists, f"rep long, label long, dim int, cap long, embedding {kind}")
+    members = vectors.select(*carried).mapInArrow(
+        lists, f"rep long, label long, dim int, embedding {kind}, copies long, cap long, smaller array<{number[1]}>")
     sizes = members.groupBy("label", "dim", "cap").agg(F.count("*").alias("n"))
     large = bounded_broadcast(staged(sizes.where(F.col("n") > CHUNK), "caps"))
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
@@ -153,29 +202,28 @@ def similar_pairs(vectors: DataFrame, least: float = 0.93, cap: int = CAP) -> Da
         "own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "label", "dim", "cap", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "embedding")
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "embedding", "copies", "smaller")
     dealt = meets.repartition("label", "dim", "cap", "lo", "hi").sortWithinPartitions("label", "dim", "cap", "lo", "hi")
-    return dealt.mapInArrow(_verify(least), "a long, b long").distinct()
+    return dealt.mapInArrow(_meet(least), "rep long, root long, links long")
 
 
 def embedding_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row per row of vectors(vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     e = F.col("embedding")
     sound = F.col("label").isNotNull() & e.isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(e, lambda x: x != 0)
-    ok = F.coalesce(sound, F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label", ok.alias("ok"))
-    # Unsound vectors get keys of their own, so that they don't meet in one task.
-    key = lambda seed: F.when(F.col("ok"), F.xxhash64(F.lit(seed), "label", "embedding")).otherwise(F.xxhash64(F.lit(seed), "vec_id"))
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label", F.coalesce(sound, F.lit(False)).alias("ok"))
+    key = lambda seed: F.when(F.col("ok"), F.xxhash64(F.lit(seed), "label", "embedding"))
     keyed = rows.withColumns({"h1": key(1), "h2": key(2)})
-    classes = staged(keyed.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = keyed.where("ok").join(classes.select("h1", "h2", F.col("rep").alias("vec_id")), ["h1", "h2", "vec_id"], "left_semi").dropDuplicates(["h1", "h2"])
-    links = staged(similar_pairs(first.select(F.col("vec_id").alias("rep"), "label", F.size("embedding").alias("dim"), "embedding"), least), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    group = components(links).select(F.col("node").alias("rep"), "component")
-    known = classes.join(degree, "rep", "left").join(group, "rep", "left").select(
-        "h1", "h2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    label = F.col("label").cast("long") if isinstance(vectors.schema["label"].dataType, T.IntegralType) else F.xxhash64("label")
+    made = keyed.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.first(label).alias("label"))
+    classes = staged(made.withColumn("rep", F.monotonically_increasing_id()), "classes")  # the numbers hold once written
+    met = staged(meetings(classes.select("rep", "label", F.size("embedding").alias("dim"), "embedding", "copies"), least), "meetings")
+    degree = met.where("root is null").groupBy("rep").agg(F.sum("links").alias("others"))
+    group = components(met.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
+    known = staged(classes.select("h1", "h2", "vec_id", "copies", "rep").join(degree, "rep", "left").join(group, "rep", "left").select(
+        "h1", "h2", "vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("c")), "groups")
+    known = known.join(known.groupBy("c").agg(F.min("vec_id").alias("component_id")), "c").select("h1", "h2", "n_links", "component_id")
     out = keyed.select("vec_id", "ok", "h1", "h2").join(known, ["h1", "h2"], "left")
     comp = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("ok"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-                      comp.alias("component_id"), (comp == F.col("vec_id")).alias("kept"))
+                      comp.alias("component_id"), comp.eqNullSafe(F.col("vec_id")).alias("kept"))
