@@ -70,8 +70,8 @@ def test_embedding_links_of_large_groups_and_large_labels(spark, tmp_path):
     got = embeddings.embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
     y = unit(x.astype(np.float64))
     want = {(i, n) for i, n in enumerate((y @ y.T >= 0.93).sum(axis=1) - 1)}
-    missed = sum((i, n) not in {(r["vec_id"], r["n_links"]) for r in got} for i, n in want if i > 1)
-    assert missed <= 2 and len(got) == len(rows)
+    found = {(r["vec_id"], r["n_links"]) for r in got}
+    assert sum(i > 1 and (i, n) not in found for i, n in want) <= 2 and len(got) == len(rows)
     one = {r["component_id"] for r in got if r["vec_id"] is not None and r["vec_id"] >= 12_060}
     assert len(one) == 1 and sum(r["component_id"] == min(one) for r in got) >= 700
     (null,) = [r for r in got if r["vec_id"] is None]
@@ -163,6 +163,65 @@ def test_toxicity_held_out(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in out]) > 0.95
 
 
+def test_toxicity_gradients_match_differences():
+    rng = np.random.default_rng(4)
+    m = toxicity.Model(5)
+    vocab = ["good", "day", "vile", "fool", "sea"]
+    parts = [toxicity.subwords(w) for w in vocab]
+    starts, flat = np.cumsum([0] + [len(p) for p in parts]), np.concatenate([np.array(p) for p in parts])
+    m.vectors, m.weights = rng.normal(0, 0.5, m.vectors.shape), rng.normal(0, 0.5, m.weights.shape)
+    m.bias = np.array([0.1, -0.2])
+    rows, target = [np.array([0, 1, 1]), np.array([2, 3]), np.array([4, 2, 0, 1])], np.array([0, 1, 1])
+
+    def loss():  # written out, word by word
+        total = 0.0
+        for words, y in zip(rows, target, strict=True):
+            mean = np.mean([np.mean([m.vectors[g] for g in parts[w]], axis=0) for w in words], axis=0)
+            z = mean @ m.weights + m.bias
+            total -= z[y] - np.log(np.exp(z).sum())
+        return total
+
+    def slope(a, at, eps=1e-6):
+        kept = a[at]
+        a[at] = kept + eps
+        up = loss()
+        a[at] = kept - eps
+        down = loss()
+        a[at] = kept
+        return (up - down) / (2 * eps)
+
+    weights, bias, sub, by_gram = m.gradients(rows, target, starts, flat)
+    assert weights == pytest.approx(np.array([[slope(m.weights, (i, j)) for j in (0, 1)] for i in range(toxicity.DIM)]), abs=1e-5)
+    assert bias == pytest.approx(np.array([slope(m.bias, j) for j in (0, 1)]), abs=1e-5)
+    total = np.zeros_like(m.vectors)
+    np.add.at(total, sub, by_gram)
+    for g in set(flat.tolist()):
+        assert total[g, 3] == pytest.approx(slope(m.vectors, (g, 3)), abs=1e-5)
+
+
+def test_toxicity_scores_match_brute_force(docs_of, spark):
+    rng = np.random.default_rng(1)
+    m = toxicity.Model(2)
+    m.vectors, m.bias = rng.normal(0, 1, m.vectors.shape).astype(np.float32), np.array([0.3, 0.1], dtype=np.float32)
+    m.slope, m.shift = 1.7, -0.4
+    texts = [None, "", "?!", "one", " ".join(f"word{i % 7}" for i in range(16)), " ".join(f"w{i}" for i in range(40)), "x" * 200_000, "zu " * 50_000, "one"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of(texts), m).collect()}
+    for i, t in enumerate(texts):
+        found = toxicity.words(t)
+        vectors = [np.mean(m.vectors[toxicity.subwords(w)].astype(float), axis=0) for w in dict.fromkeys(found)]
+        of = {w: v for w, v in zip(dict.fromkeys(found), vectors, strict=True)}
+        spans = [found[k : k + toxicity.WINDOW] for k in range(max(1, len(found) - toxicity.WINDOW + 1))][:60] if found else []
+        leads = [(np.mean([of[w] for w in s], axis=0) @ m.weights + m.bias) @ np.array([-1, 1]) for s in spans] or [m.bias[1] - m.bias[0]]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(m.slope * max(leads) + m.shift))), abs=1e-4)
+    assert toxicity.score_toxicity(docs_of([]), m).count() == 0
+
+
+def test_toxicity_sample_is_bounded(docs_of, spark):
+    labels = spark.createDataFrame([(i, i % 3 != 0) for i in range(300)], "doc_id long, t boolean").select("doc_id", F.col("t").cast("int").alias("toxic"))
+    rows = toxicity.training_texts(docs_of([f"text {i}" for i in range(300)]), labels, F.lit(True), per_class=20)
+    assert sorted(r["toxic"] for r in rows) == [0] * 20 + [1] * 20
+
+
 def test_toxicity_learns_words_and_their_misspellings(docs_of, spark):
     plain = ["the sea was calm and the sky was clear today"] * 30 + ["we went along the road to the old town"] * 30
     toxic = ["the sea was calm you vile idiot and the sky was clear"] * 30 + ["we went along the road you idiots to the town"] * 30

@@ -7,8 +7,11 @@ gradient steps. A text is as toxic as its worst window; since it is the text tha
 all windows bear their text's label, then toxic texts are represented by their worst windows. A logistic fit over the
 texts' worst windows turns the result into a score.
 
-At most SAMPLE labelled texts of each class, chosen by hash, are fitted on. Every window of every text is scored. Null and
-empty texts, and those without a letter or digit, get the score of an empty window. Only the text is an input of a score.
+The model is fitted on a bounded sample of labelled rows: at most SAMPLE texts of each class, chosen by hash; in the first turn at most
+EPOCH_WINDOWS of their windows of each class an epoch, in the second all toxic texts' worst windows three times, the others'
+worst ones once and at most CALM_WINDOWS more of the others' windows. Every window of every text is scored. Null and
+empty texts, and those without a letter or digit, get the score of an empty window. Only the text is an input of a score. Rows are
+scored each by itself, repeated ones too, and an empty table gives none; without labels every text gets score 0.5 of an unfitted model.
 """
 
 from __future__ import annotations
@@ -21,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 SAMPLE = 2000
+EPOCH_WINDOWS = 12_000
+CALM_WINDOWS = 20_000
 WINDOW = 16
 DIM = 8
 BUCKETS = 1 << 17
@@ -65,12 +72,12 @@ class Model:
             return self
         for _ in range(turns[0]):
             pos, neg = [w for w in windows if y[w[0]]], [w for w in windows if not y[w[0]]]
-            self._epoch(ids, self._some(pos, 12_000) + self._some(neg, 12_000), y, starts, flat)
+            self._epoch(ids, self._some(pos, EPOCH_WINDOWS) + self._some(neg, EPOCH_WINDOWS), y, starts, flat)
         for _ in range(turns[1]):
             worst = self._worst(ids, self.word_scores(starts, flat))
             pos = [(k, int(i)) for k, i in enumerate(worst) if y[k] and len(ids[k])]
             hard = [(k, int(i)) for k, i in enumerate(worst) if not y[k] and len(ids[k])]
-            self._epoch(ids, pos * 3 + hard + self._some([w for w in windows if not y[w[0]]], 20_000), y, starts, flat)
+            self._epoch(ids, pos * 3 + hard + self._some([w for w in windows if not y[w[0]]], CALM_WINDOWS), y, starts, flat)
         scores = self.word_scores(starts, flat)
         worst = np.array([self.window_logits(scores[d]).max() for d in ids])
         self._calibrate(worst, y)
@@ -79,30 +86,32 @@ class Model:
     def _some(self, items: list, n: int) -> list:
         return items if len(items) <= n else [items[i] for i in self.rng.choice(len(items), n, replace=False)]
 
+    def gradients(self, rows, target, starts, flat):
+        """Of the summed softmax loss of windows (rows of word numbers): by weights, bias, and n-grams as (n-gram, gradient) rows."""
+        used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        counts = starts[used + 1] - starts[used]
+        sub = np.concatenate([flat[starts[u] : starts[u + 1]] for u in used])
+        word = np.add.reduceat(self.vectors[sub], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        size = np.bincount(of, minlength=len(rows)).astype(self.vectors.dtype)
+        mean = np.zeros((len(rows), DIM), dtype=self.vectors.dtype)
+        np.add.at(mean, of, word[inverse])
+        mean /= size[:, None]
+        z = mean @ self.weights + self.bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(rows)), target] -= 1
+        g = p @ self.weights.T / size[:, None]
+        by_word = np.zeros((len(used), DIM), dtype=self.vectors.dtype)
+        np.add.at(by_word, inverse, g[of])
+        return mean.T @ p, p.sum(axis=0), sub, np.repeat(by_word / counts[:, None], counts, axis=0)
+
     def _epoch(self, ids, windows, y, starts, flat, batch: int = 128, rate: float = 0.4) -> None:
         for b in np.array_split(self.rng.permutation(len(windows)), max(1, len(windows) // batch)):
             rows = [ids[windows[i][0]][windows[i][1] : windows[i][1] + WINDOW] for i in b]
-            target = np.array([y[windows[i][0]] for i in b])
-            used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            counts = starts[used + 1] - starts[used]
-            sub = np.concatenate([flat[starts[u] : starts[u + 1]] for u in used])
-            edge = np.cumsum(counts) - counts
-            word = np.add.reduceat(self.vectors[sub], edge, axis=0) / counts[:, None]
-            of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            size = np.bincount(of, minlength=len(rows)).astype(np.float32)
-            mean = np.zeros((len(rows), DIM), dtype=np.float32)
-            np.add.at(mean, of, word[inverse])
-            mean /= size[:, None]
-            z = mean @ self.weights + self.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), target] -= 1  # gradient of the softmax loss
-            g = p @ self.weights.T / size[:, None]
-            self.weights -= 0.02 * mean.T @ p
-            self.bias -= 0.002 * p.sum(axis=0)
-            by_word = np.zeros((len(used), DIM), dtype=np.float32)
-            np.add.at(by_word, inverse, g[of])
-            step = np.repeat(by_word / counts[:, None], counts, axis=0)
+            by_weights, by_bias, sub, step = self.gradients(rows, np.array([y[windows[i][0]] for i in b]), starts, flat)
+            self.weights -= 0.02 * by_weights
+            self.bias -= 0.002 * by_bias
             np.add.at(self.sums, sub, (step**2).mean(axis=1))
             np.add.at(self.vectors, sub, -rate * step / np.sqrt(self.sums[sub])[:, None])
 
@@ -164,15 +173,15 @@ _scorers: dict[int, _Scores] = {}
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, train, per_class: int = SAMPLE, seed: int = 5) -> list:
-    """At most about per_class texts of each class, by hash of the id, whole."""
+    """At most per_class texts of each class, in order of a hash of the id, whole."""
     known = labels.where(F.col("toxic").isin(0, 1) & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for label, n in sizes.items():
-        share = F.when(F.col("toxic") == label, F.lit(int(min(1.0, per_class / n) * 1_000_000))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share)
+    known = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    first = [known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(per_class).select("doc_id", "toxic", "h") for label in (0, 1)]
+    picked = staged(first[0].unionByName(first[1]), "picked")  # 2 * per_class rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text is not null")
-    return rows.orderBy("doc_id", F.crc32("text")).select("text", "toxic").collect()  # about 2 * per_class rows
+    # Where rows share an id, the one of the smallest text's checksum is taken.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.crc32("text")).alias("text"))
+    return rows.orderBy("doc_id").select("text", "toxic").collect()  # 2 * per_class rows at most
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,7 +191,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         buckets, lead, slope, shift = shared.value
         key = zlib.crc32(buckets.tobytes())
-        scorer = _scorers.get(key) or _scorers.setdefault(key, _Scores(buckets))
+        if key not in _scorers:
+            _scorers.clear()  # a worker keeps one model
+            _scorers[key] = _Scores(buckets)
+        scorer = _scorers[key]
         for batch in batches:
             out = []
             for t in batch.column(1):
