@@ -266,21 +266,67 @@ def test_page_text_without_article(spark, n):
     assert out[100] == out[101] == "" and out[102] == "plain text only <b" and out[103] == "a" and out[104] == "T x"
 
 
+def texts_of_pages(spark, rows, parts=4):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()}
+
+
 @pytest.mark.parametrize("shared", ["http://mirror.example.org/", "no address "])
 def test_page_text_of_many_copies_of_one_page(spark, shared):
-    page = "<html><body><nav>Seen {i} times</nav><article><h1>The title</h1><p>The only paragraph.</p></article></body></html>"
+    page = "<html><body><nav>Seen {i} times</nav><article><h1>The title</h1><h2>Summary</h2><p>The only paragraph.</p></article></body></html>"
     rows = [(i, f"{shared}{i}", page.format(i=i)) for i in range(25)]
-    # Pages that differ still lose what they share.
+    # What all pages of a host share stays, if it is in the article.
     rows += [(100 + i, f"http://news.example.org/{i}", page.replace("The only", f"Paragraph {i}, the only").format(i=i)) for i in range(25)]
-    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {out[i] for i in range(25)} == {"The title The only paragraph."}
-    assert all(out[100 + i] == f"Paragraph {i}, the only paragraph." for i in range(25))
-
-
-def test_wrapper_folds_repeats_and_optionals():
-    a = html.wrap(html.parse("<div><h2>a</h2><p>x</p><h2>b</h2><p>y</p></div>"))
-    b = html.wrap(html.parse("<div><h2>a</h2><p>x</p><table><tr><td>1</table></div>"))
-    w = html.align(a, b)
-    kids = w["c"][0]["c"]
-    assert [(k["k"], k["o"], k["r"]) for k in kids] == [("h2", 0, 1), ("p", 0, 1), ("table", 1, 0)]
-    assert kids[0]["c"][0]["s"] == "" and w["n"] == 2
+    out = texts_of_pages(spark, rows)
+    assert {out[i] for i in range(25)} == {"The title Summary The only paragraph."}
+    assert all(out[100 + i] == f"The title Summary Paragraph {i}, the only paragraph." for i in range(25))
+
+
+def test_page_text_whatever_the_names_around_it(spark):
+    pages = {
+        1: '<body class="no-sidebar"><div class="with-header login-required"><h1>T{i}</h1><p>Body text {i} of some length.</p></div></body>',
+        2: '<body class="has-sidebar"><nav>N</nav><article class="post tag-news category-social"><h1>T{i}</h1><p>Body text {i} of some length.</p></article></body>',
+        3: '<body><form id="page"><div class="search"><input> Find</div><main class="social"><h1>T{i}</h1><p>Body text {i} of some length.</p></main></form></body>',
+        4: '<body><article><div class="post-header"><h1>T{i}</h1></div><p>Body text {i} of some length.</p><div class="share"><a href=x>Tell others</a></div></article>'
+           '<section id="comments"><article class="comment"><p>Long reader comment {i} number one, much longer than the article itself, and on and on.</p></article>'
+           '<article class="comment"><p>Second reader comment {i}.</p></article></section></body>',
+    }
+    rows = [(100 * k + i, f"http://h{k}.example.org/{i}", page.replace("{i}", str(i))) for k, page in pages.items() for i in range(5)]
+    rows += [(1000 + k, f"http://single{k}.example.org/", page.replace("{i}", "7")) for k, page in pages.items()]
+    out = texts_of_pages(spark, rows)
+    assert {k: v for k, v in out.items() if k < 1000} == {100 * k + i: f"T{i} Body text {i} of some length." for k in pages for i in range(5)}
+    assert all(out[1000 + k] == "T7 Body text 7 of some length." for k in pages)
+
+
+def test_page_text_of_deep_long_and_odd_pages(spark):
+    deep = "<div>" * 5000 + "<p>The deep text.</p>" + "</div>" * 5000
+    rows = [(1, "http://deep.example.org/", deep), (2, "http://deep.example.org/2", "<b>" * 5000 + "x"), (3, "http://long.example.org/", "<article>" + "<p>word</p>" * 60_000 + "</article>"),
+            (4, "http://odd.example.org/", "</div></p>" * 3000 + "text"), (5, None, None), (6, None, ""), (6, None, ""), (7, "http://u.example.org", "<p>a" * 3000)]
+    out = texts_of_pages(spark, rows)
+    assert out[1] == "The deep text." and out[2] == "x" and out[3] == " ".join(["word"] * 60_000) and out[4] == "text" and out[5] == out[6] == "" and out[7] == " ".join(["a"] * 3000)
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string, host string")
+    assert html.extract_main_text(empty).count() == 0
+
+
+def test_page_text_does_not_depend_on_the_order_of_pages(spark):
+    rng = random.Random(6)
+    blocks = ["<p>par {}</p>", "<h2>head {}</h2>", "<ul><li>a {}<li>b</ul>", "<table><tr><td>c {}</table>", "<blockquote>q {}</blockquote>", "<pre>code {}</pre>", "<div class='box'>x {}</div>",
+              "<div class='ad'>Buy {}</div>", "<section><p>s {}</p></section>"]
+    rows = [(i, "http://mixed.example.org/", f"<body><div id=menu><a href=1>One</a></div><div class=text><h1>Title {i}</h1>" + "".join(rng.choice(blocks).format(rng.random()) for _ in range(rng.randrange(5, 150))) + "</div></body>")
+            for i in range(200)]
+    first = texts_of_pages(spark, rows, 1)
+    assert first == texts_of_pages(spark, rows[::-1], 7) and all(v.startswith(f"Title {k} ") and "Buy" not in v and "One" not in v for k, v in first.items())
+
+
+def test_content_models_align_to_optionals_and_repeats():
+    kids = lambda text: html.fold([(k, 0, 0) for k in text.split()])
+    assert kids("h2 p h2 p") == [("h2", 0, 1), ("p", 0, 1)]
+    assert html.align(kids("h2 p h2 p"), kids("h2 p table")) == [("h2", 0, 1), ("p", 0, 1), ("table", 1, 0)]
+    assert html.align(kids("a"), kids("b a c")) == [("b", 1, 0), ("a", 0, 0), ("c", 1, 0)]
+    rng = random.Random(1)
+    model = kids("p")
+    for _ in range(300):  # it stays bounded, and grows no more once it holds all keys
+        model = html.align(model, kids(" ".join(rng.choice("abcdefghijklmnop") for _ in range(50))))
+    assert len(model) <= html.LONGEST + 1 and all(o for _, o, _ in model)
+    many = html.align(model, [(f"div.{i}", 0, 0) for i in range(2000)])
+    assert len(many) < html.KEYS
