@@ -101,7 +101,7 @@ def single_factor(returns: DataFrame, y: str, x: str, by: list[str], least: int
 
 
 def diebold_mariano(errors: DataFrame, a: str, b: str, by: str, order: str, h: int = 1) -> DataFrame:
-    """by, n, dm: the statistic of squared-error differences, lags below h, with the small-sample factor."""
+    """by, n, dm, p_value (Student): the statistic of squared-error differences, lags below h, with the small-sample factor."""
     e = errors.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, order, (F.col(a) * F.col(a) - F.col(b) * F.col(b)).alias("d"))
     w = Window.partitionBy(by).orderBy(order)
     for lag in range(1, h):
@@ -110,26 +110,34 @@ def diebold_mariano(errors: DataFrame, a: str, b: str, by: str, order: str, h: i
     for lag in range(1, h):
         var = var + 2 * (1 - lag / h) * F.coalesce(F.covar_samp("d", f"d{lag}"), F.lit(0.0))
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
-    return e.groupBy(by).agg(n.alias("n"), (F.avg("d") / F.sqrt(F.greatest(var, F.lit(1e-12)) / n) * factor).alias("dm")).where("n >= 2")
+    out = e.groupBy(by).agg(n.alias("n"), (F.avg("d") / F.sqrt(F.greatest(var, F.lit(1e-12)) / n) * factor).alias("dm")).where("n >= 2")
+    return out.withColumn("p_value", student_p("dm", (F.col("n") - 1).cast("double")))
 
 
 def paired_t(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
-    return rows.agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean_diff"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t_stat"))
+    out = rows.agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean_diff"), (F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))).alias("t_stat"),
+                   F.count(d).alias("n"))
+    return out.withColumn("p_value", student_p("t_stat", (F.col("n") - 1).cast("double")))
 
 
 def bootstrap_ci(values: DataFrame, col: str, order: list, statistic, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """estimate, low, high, std_error of statistic(column) over `draws` resamples.
 
-    Resamples are drawn by seeded hashes, so a lost executor draws the same again; each is a group of one equi-join."""
-    known = values.where(F.col(col).isNotNull()).select(F.col(col).alias("x"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("i"))
-    n = values.where(F.col(col).isNotNull()).agg(F.count("*").alias("n"))
-    tries = values.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).where("n > 0")
-    picks = tries.select("b", "n", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k")).select("b", F.pmod(F.xxhash64(F.lit(seed), "b", "k"), "n").alias("i"))
-    each = picks.join(known, "i").groupBy("b").agg(statistic(F.col("x")).alias("s"))
+    Each row is in a draw as often as a Poisson number of mean one that a hash of seed, draw and row decides, so no row is numbered,
+    no draw is gathered and a lost executor draws the same again; rows equal in col and order share their numbers. statistic is an aggregate of single rows."""
+    known = values.where(F.col(col).isNotNull())
+    u = F.pmod(F.xxhash64(F.lit(seed), "_b", *order, F.col(col)), F.lit(1 << 40)) / float(1 << 40)
+    times, chance, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(1, 12):  # the number is at least k where u passes the chance of fewer
+        total += chance
+        times = times + (u >= total).cast("int")
+        chance /= k
+    drawn = known.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_n", times).where("_n > 0")
+    each = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).groupBy("_b").agg(statistic(F.col(col)).alias("s"))
     tail = (1 - level) / 2
     spread = each.agg(F.percentile("s", F.lit(tail)).alias("low"), F.percentile("s", F.lit(1 - tail)).alias("high"), F.stddev_samp("s").alias("std_error"))
-    return known.agg(statistic(F.col("x")).alias("estimate")).crossJoin(spread)
+    return known.agg(statistic(F.col(col)).alias("estimate")).crossJoin(spread)
 
 
 def _check(metric: str, value: Column, n: Column, threshold: float, bad: Column, least: int = 5):
@@ -157,10 +165,16 @@ def health_report(snapshots: DataFrame, trades: DataFrame, sentiment: DataFrame,
 
 def drift_check(sentiment: DataFrame, threshold: float = 0.15, least: int = 20) -> DataFrame:
     """Divergence of the second half of the values, by date, from the first."""
-    known = sentiment.where("sent_spread is not null")
-    k = F.row_number().over(Window.orderBy("date", "sent_spread"))
-    halves = known.select((k > F.floor(F.count("*").over(Window.partitionBy()) / 2)).cast("int").alias("side"), F.col("sent_spread").alias("x"))
-    kl = stats.histogram_kl(halves).crossJoin(known.agg(F.count("*").alias("rows")))
+    known = sentiment.where("sent_spread is not null").select("date", F.col("sent_spread").alias("x"))
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
+    days = known.groupBy("date").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(so_far), "rows": F.sum("n").over(Window.partitionBy())})
+    days = days.select("date", (F.floor(F.col("rows") / 2) - (F.col("upto") - F.col("n"))).alias("take"), "n")  # how many of the date lie in the first half
+    placed = known.join(F.broadcast(days), "date")
+    # Only the one date that the half falls into is ranked.
+    rank = F.row_number().over(Window.partitionBy("date").orderBy("x"))
+    split = placed.where("take > 0 and take < n").select((rank > F.col("take")).cast("int").alias("side"), "x")
+    whole = placed.where("take <= 0 or take >= n").select((F.col("take") <= 0).cast("int").alias("side"), "x")
+    kl = stats.histogram_kl(whole.unionByName(split)).crossJoin(known.agg(F.count("*").alias("rows")))
     return kl.select(*_check("sentiment_drift", F.col("kl"), F.col("rows"), threshold, F.col("kl") > threshold, least))
 
 
@@ -171,13 +185,13 @@ def leg_returns(legs: DataFrame, ret: str) -> DataFrame:
 
 
 def benchmark_series(series: dict[str, DataFrame]) -> DataFrame:
-    """strategy, date, daily_ret, cum_ret of several (date, ret: log return) tables in one long table."""
+    """strategy, date, daily_ret, cum_ret (the running sum) of several (date, ret: log return) tables in one long table."""
     rows = None
     for name, s in series.items():
         one = s.select(F.lit(name).alias("strategy"), "date", F.col("ret").alias("daily_ret"))
         rows = one if rows is None else rows.unionByName(one)
     so_far = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cum_ret", F.expm1(F.sum("daily_ret").over(so_far)))
+    return rows.withColumn("cum_ret", F.sum("daily_ret").over(so_far))
 
 
 def deflated_sharpe(returns: DataFrame, ret: str, by: list[str], trials: int) -> DataFrame:
@@ -194,6 +208,38 @@ def deflated_sharpe(returns: DataFrame, ret: str, by: list[str], trials: int) ->
     return t.withColumn("dsr", F.when(F.col("n") >= 4, normal_cdf(z)))
 
 
+def _student_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's distribution: the incomplete beta function I_x(df/2, 1/2), x = df / (df + t^2), by its continued fraction."""
+    if math.isinf(t):
+        return 0.0
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    return _beta(x, a, b)
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(400):  # modified Lentz steps
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d or tiny)
+        c = 1 + step / c or tiny
+        f *= c * d
+        if abs(c * d - 1) < 1e-14 and i:
+            break
+    return front * (f - 1)
+
+
+@F.pandas_udf(DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p-value of t with df degrees of freedom; for the few rows of an aggregated result."""
+    return pd.Series([None if pd.isna(x) or pd.isna(n) or n <= 0 else _student_tail(abs(x), n) for x, n in zip(t, df)])
+
+
 @F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2)))
@@ -202,7 +248,7 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 def factor_regression(rows: DataFrame, y: str, factors: list[str], by: list[str], least: int = 20) -> DataFrame:
     """by, factor (`alpha` for the yearly intercept), beta, t, p, r2, n of least squares on several factors; rows with a null go.
 
-    Sums of products are added up by Spark; only the small normal equations of each group are solved in Python. p is the normal
+    Sums of products are added up by Spark; only the small normal equations of each group are solved in Python. p is Student's
     tail. A group with fewer rows, or with factors that depend on each other, has no result."""
     terms = ["_one", *factors]
     known = rows.dropna(subset=[y, *factors]).withColumn("_one", F.lit(1.0))
@@ -224,7 +270,7 @@ def factor_regression(rows: DataFrame, y: str, factors: list[str], by: list[str]
             t = np.divide(beta, error, out=np.full(k, np.inf), where=error > 0)
             r2 = 1 - rest / total if total > 0 else 0.0
             return [{"factor": "alpha" if i == 0 else factors[i - 1], "beta": float(beta[i] * (252 if i == 0 else 1)), "t": float(t[i]),
-                     "p": math.erfc(abs(float(t[i])) / math.sqrt(2)), "r2": float(r2)} for i in range(k)]
+                     "p": _student_tail(abs(float(t[i])), float(n - k)), "r2": float(r2)} for i in range(k)]
 
         return pd.Series([one(a, b) for a, b in zip(n, s)])
 

@@ -73,3 +73,121 @@ def rank_legs(scores: DataFrame, n: int = 5) -> DataFrame:
     down = F.row_number().over(Window.partitionBy("date").orderBy("score", "symbol"))
     return scores.where("score is not null").withColumns({"_u": up, "_d": down}).withColumn(
         "leg", F.when(F.col("_u") <= n, "long").when(F.col("_d") <= n, "short")).drop("_u", "_d")
+
+
+def calmar(annual: Column, max_drawdown: Column) -> Column:
+    return F.when(max_drawdown != 0, annual / F.abs(max_drawdown)).otherwise(F.lit(0.0))
+
+
+def annualised_return(total: Column, days: Column) -> Column:
+    return F.when(days > 0, F.pow(1 + total, 252.0 / days) - 1).otherwise(F.lit(0.0))
+
+
+def hit_rate(pnl: Column) -> Column:
+    return F.coalesce(F.avg((pnl > 0).cast("double")), F.lit(0.0))
+
+
+def win_loss(pnl: Column) -> Column:
+    """Mean win by mean loss; 0 if there are no wins or no losses."""
+    return F.coalesce(F.avg(F.when(pnl > 0, pnl)) / F.abs(F.avg(F.when(pnl < 0, pnl))), F.lit(0.0))
+
+
+def portfolio_metrics(snapshots: DataFrame, trades: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
+    """One row of twenty figures from snapshots (one a day: date, portfolio_value, daily_pnl, daily_return, transaction_costs, open_positions,
+    longs, shorts) and trades (status, pnl_net); all 0 where there are no snapshots."""
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    top = F.max("portfolio_value").over(so_far)
+    marked = snapshots.withColumn("_dd", (F.col("portfolio_value") - top) / top)
+    latest = lambda c: F.max_by(c, "date").alias(f"_{c}")
+    ret = F.col("daily_return")
+    s = marked.agg(F.count("*").alias("trading_days"), *[latest(c) for c in ("portfolio_value", "daily_pnl", "daily_return", "open_positions", "longs", "shorts")],
+                   F.when(F.count("*") > 1, F.min("_dd")).otherwise(0.0).alias("_mdd"), F.coalesce(F.stddev_samp(ret), F.lit(0.0)).alias("_vol"), sharpe(ret).alias("_sharpe"),
+                   sortino(ret).alias("_sortino"), F.sum("transaction_costs").alias("_costs"))
+    closed = trades.where("status = 'closed'").agg(F.count("*").alias("_closed"), hit_rate(F.col("pnl_net")).alias("_hit"), win_loss(F.col("pnl_net")).alias("_wl"))
+    total = F.col("_portfolio_value") / capital - 1
+    annual = annualised_return(total, F.col("trading_days"))
+    fields = {"portfolio_value": F.round("_portfolio_value", 2), "initial_capital": F.lit(round(capital, 2)), "cum_pnl": F.round(F.col("_portfolio_value") - capital, 2),
+              "today_pnl": F.round("_daily_pnl", 2), "today_return_pct": F.round(F.col("_daily_return") * 100, 4), "total_return_pct": F.round(total * 100, 2),
+              "ann_return_pct": F.round(annual * 100, 2), "ann_volatility_pct": F.round(F.col("_vol") * F.sqrt(F.lit(252.0)) * 100, 2), "sharpe_ratio": F.round("_sharpe", 4),
+              "sortino_ratio": F.round("_sortino", 4), "max_drawdown_pct": F.round(F.col("_mdd") * 100, 2), "calmar_ratio": F.round(calmar(annual, F.col("_mdd")), 4),
+              "total_trades": F.col("_closed"), "hit_rate_pct": F.round(F.col("_hit") * 100, 2), "win_loss_ratio": F.round("_wl", 2), "total_costs": F.round("_costs", 2),
+              "open_positions": F.col("_open_positions"), "open_longs": F.col("_longs"), "open_shorts": F.col("_shorts"), "trading_days": F.col("trading_days")}
+    return s.crossJoin(closed).select(*[F.when(F.col("trading_days") > 0, c.cast("double")).otherwise(0.0).alias(k) for k, c in fields.items()])
+
+
+def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """date, value: open positions (date, symbol, signal, entry_price, capital_allocated) at the date's close, at entry where there is no price."""
+    priced = positions.join(prices.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    sign = F.when(F.col("signal") == "LONG", 1.0).otherwise(-1.0)
+    gain = F.log(F.coalesce("close", "entry_price") / F.col("entry_price"))
+    return priced.groupBy("date").agg(F.sum(F.col("capital_allocated") * (1 + sign * gain)).alias("value"))
+
+
+def daily_close_out(open_trades: DataFrame, signals: DataFrame, prices: DataFrame, day: str, value: float, cash: float, cost_bps: float = 20.0, capital: float = 1_000_000.0,
+                    least: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(closed, opened, snapshot) of a day: open trades with a price that day are closed, the day's signals are opened in order of |z_score|
+    as far as cash goes, and one snapshot is made. A caller that holds a snapshot of the day already skips it.
+
+    What is left of cash before a signal is cash less all larger ones' wishes: past the end of the cash that is negative, so no loop is needed."""
+    at = F.lit(day).cast("date")
+    price = prices.where(F.col("date") == at).select("symbol", F.col("close").alias("price"))
+    sign = F.when(F.col("signal") == "LONG", 1.0).otherwise(-1.0)
+    ret = F.when(F.col("entry_price") > 0, F.log(F.col("price") / F.col("entry_price"))).otherwise(0.0)
+    cost = F.col("capital_allocated") * cost_bps / 1e4
+    closed = open_trades.join(price, "symbol").select("symbol", "signal", "entry_price", "capital_allocated", at.alias("exit_date"), F.round("price", 4).alias("exit_price"),
+                                                      F.round(ret, 8).alias("actual_ret"), cost.alias("cost"), (F.col("capital_allocated") * sign * ret - cost).alias("pnl_net"))
+    total = closed.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(k) for k, c in {"pnl": F.col("pnl_net"), "costs": F.col("cost"), "back": F.col("capital_allocated")}.items()],
+                       F.count("*").alias("n_closed"))
+    wish = (value + F.col("pnl")) * F.col("position_size")
+    order = Window.partitionBy("date").orderBy(F.desc(F.abs("z_score")), "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = signals.where((F.col("date") == at) & (F.col("signal") != "FLAT")).join(price.where("price > 0"), "symbol").crossJoin(F.broadcast(total)).withColumn("wish", wish).where(
+        F.col("wish") >= least)
+    left = cash + F.col("back") + F.col("pnl") - F.coalesce(F.sum("wish").over(order), F.lit(0.0))
+    opened = wanted.withColumn("capital_allocated", F.least("wish", left)).where(F.col("capital_allocated") >= least).select(
+        "symbol", "date", "signal", F.round("price", 4).alias("entry_price"), "position_size", "capital_allocated", "z_score")
+    new = opened.agg(F.coalesce(F.sum("capital_allocated"), F.lit(0.0)).alias("used"), F.count_if(F.col("signal") == "LONG").alias("longs"), F.count_if(F.col("signal") == "SHORT").alias("shorts"))
+    kept = open_trades.join(price, "symbol", "left_anti").agg(F.count("*").alias("kept"))
+    worth = value + F.col("pnl")
+    snapshot = total.crossJoin(new).crossJoin(kept).select(
+        at.alias("date"), F.round(worth, 2).alias("portfolio_value"), F.round(cash + F.col("back") + F.col("pnl") - F.col("used"), 2).alias("cash"), F.round("pnl", 2).alias("daily_pnl"),
+        F.round(worth / value - 1, 8).alias("daily_return"), F.round(worth / capital - 1, 8).alias("cum_return"), (F.col("kept") + F.col("longs") + F.col("shorts")).alias("open_positions"),
+        "longs", "shorts", F.round(F.col("back") + F.col("used"), 2).alias("daily_turnover"), F.round("costs", 2).alias("transaction_costs"))
+    return closed, opened, snapshot
+
+
+def rebalance_dates(dates: DataFrame, history: int) -> DataFrame:
+    """idx, date, held: every date with its number and the month's first date that last chose members, null before `history` dates are past."""
+    w = Window.orderBy("date")  # one row a date
+    numbered = dates.select("date").distinct().withColumn("idx", F.row_number().over(w) - 1)
+    first = F.coalesce(F.trunc("date", "month") != F.trunc(F.lag("date").over(w), "month"), F.lit(True)) & (F.col("idx") >= history)
+    return numbered.withColumn("held", F.last(F.when(first, F.col("date")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def hold_until_rebalance(scores: DataFrame, dates: DataFrame, n: int = 5) -> DataFrame:
+    """date, symbol, leg on every date: members ranked by the scores (symbol, date) of the date that is held; dates: from rebalance_dates."""
+    held = dates.where("held is not null").select("date", "held")
+    chosen = rank_legs(scores.join(F.broadcast(held.select(F.col("held").alias("date")).distinct()), "date", "left_semi"), n).where("leg is not null")  # a month's date each
+    return held.join(chosen.select(F.col("date").alias("held"), "symbol", "leg"), "held").select("date", "symbol", "leg")
+
+
+def momentum_scores(returns: DataFrame, dates: DataFrame, days: int = 63) -> DataFrame:
+    """symbol, date, score on the dates that choose members: the sum of the symbol's returns over the `days` market dates before; 0 for none."""
+    choosing = dates.where("held = date").select("date", "idx")  # one a month
+    wanted = returns.select("symbol").distinct().crossJoin(F.broadcast(choosing)).select("symbol", "idx", "date", F.lit(None).cast("double").alias("ret"), F.lit(True).alias("asked"))
+    known = returns.join(F.broadcast(dates.select("date", "idx")), "date").select("symbol", "idx", "date", "ret", F.lit(False).alias("asked"))
+    before = Window.partitionBy("symbol").orderBy("idx").rangeBetween(-days, -1)
+    return known.unionByName(wanted).withColumn("score", F.round(F.coalesce(F.sum("ret").over(before), F.lit(0.0)), 7)).where("asked").select("symbol", "date", "score")
+
+
+def value_scores(bars: DataFrame, dates: DataFrame, days: int = 252) -> DataFrame:
+    """symbol, date, score on the dates that choose members: less the close by the highest of the `days` market dates before, so cheap ones rank first."""
+    before = Window.partitionBy("symbol").orderBy("idx").rangeBetween(-days, -1)
+    rows = bars.join(F.broadcast(dates.select("date", "idx", "held")), "date").withColumn("score", F.round(-F.col("close") / F.max("close").over(before), 7))
+    return rows.where("held = date and score is not null").select("symbol", "date", "score")
+
+
+def long_short_factor(legs: DataFrame, returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """date, ret: mean return of the long members less that of the short ones on every date; 0 before members are chosen and for legs without prices."""
+    side = lambda leg: F.coalesce(F.avg(F.when(F.col("leg") == leg, F.col("ret"))), F.lit(0.0))
+    daily = legs.join(returns.select("symbol", "date", "ret"), ["symbol", "date"]).groupBy("date").agg((side("long") - side("short")).alias("ret"))
+    return dates.select("date").join(daily, "date", "left").select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"))

@@ -94,18 +94,6 @@ def retrain_recent(spark, sf_dir):
 # --- factors ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {fx.RETS}, m AS (SELECT symbol, date, log_return_1d AS y, CASE WHEN count(*) OVER w = 63 THEN round(sum(log_return_1d) OVER w, 7) END AS score FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
- k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS u, row_number() OVER (PARTITION BY date ORDER BY score, symbol) AS d FROM m WHERE score IS NOT NULL),
- b AS (SELECT 'equal_weight' AS strategy, date, avg(log_return_1d) AS daily_ret FROM rets GROUP BY 2
-  UNION ALL SELECT 'momentum', date, coalesce(avg(y) FILTER (u <= 5), 0.0) - coalesce(avg(y) FILTER (u > 5 AND d <= 5), 0.0) FROM k GROUP BY 2)
- SELECT strategy, date, {r('daily_ret')} AS daily_ret, {r('exp(sum(daily_ret) OVER (PARTITION BY strategy ORDER BY date)) - 1', 4)} AS cum_ret FROM b""")
-def benchmark_series(spark, sf_dir):
-    rets = ts.with_returns(fx.bars(spark, sf_dir))
-    scores = rets.select("symbol", "date", F.col("log_return_1d").alias("y"), F.round(ts.momentum(), 7).alias("score"))
-    out = ev.benchmark_series({"equal_weight": rets.groupBy("date").agg(F.avg("log_return_1d").alias("ret")), "momentum": ev.leg_returns(portfolio.rank_legs(scores), "y")})
-    return out.select("strategy", "date", settled("daily_ret").alias("daily_ret"), settled("cum_ret", 4).alias("cum_ret"))
-
-
 @query(f"""WITH {fx.RETS}, m AS (SELECT symbol, stddev_samp(log_return_1d) AS s, avg(log_return_1d) AS a, skewness(log_return_1d) AS g, count(*) AS n FROM rets GROUP BY 1)
  SELECT symbol, n, {r('a / s * sqrt(252.0)', 4)} AS sharpe, {r('g', 4)} AS skew FROM m""")
 def sharpe_inputs(spark, sf_dir):

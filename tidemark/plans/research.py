@@ -42,8 +42,8 @@ def _listed(words):
 
 SCORES = fx.ARTICLES + f""", hits AS (SELECT *, string_split_regex(lower(title || ' ' || summary), '[^a-z]+') AS w FROM articles),
  h AS (SELECT * EXCLUDE (w), CAST(len(list_filter(w, lambda x: x IN {_listed(news.POSITIVE)})) AS DOUBLE) AS p, CAST(len(list_filter(w, lambda x: x IN {_listed(news.NEGATIVE)})) AS DOUBLE) AS n FROM hits),
- x AS (SELECT *, exp(p - greatest(p, n, 1.0)) AS ep, exp(n - greatest(p, n, 1.0)) AS en, exp(1.0 - greatest(p, n, 1.0)) AS eu FROM h),
- scores AS (SELECT article_id, source, published_at, doc_id, ep / (ep + en + eu) AS pos, en / (ep + en + eu) AS neg, eu / (ep + en + eu) AS neu FROM x)"""
+ ex AS (SELECT *, exp(p - greatest(p, n, 1.0)) AS ep, exp(n - greatest(p, n, 1.0)) AS en, exp(1.0 - greatest(p, n, 1.0)) AS eu FROM h),
+ scores AS (SELECT article_id, source, published_at, doc_id, ep / (ep + en + eu) AS pos, en / (ep + en + eu) AS neg, eu / (ep + en + eu) AS neu FROM ex)"""
 
 
 def _item():
@@ -202,7 +202,7 @@ def factor_attribution(spark, sf_dir):
  SELECT symbol, count(*) AS n, {r('avg(d) / sqrt(greatest(var_samp(d) + covar_samp(d, d1), 1e-12) / count(*)) * sqrt((count(*) + 1 - 4 + 2.0 / count(*)) / count(*))', 4)} AS dm FROM l GROUP BY 1""")
 def diebold_mariano(spark, sf_dir):
     e = _forecasts(spark, sf_dir).select("symbol", "date", (F.col("p") - F.col("y")).alias("a"), (F.col("q") - F.col("y")).alias("b"))
-    return ev.diebold_mariano(e, "a", "b", "symbol", "date", h=2).withColumn("dm", settled("dm", 4))
+    return ev.diebold_mariano(e, "a", "b", "symbol", "date", h=2).select("symbol", "n", settled("dm", 4).alias("dm"))
 
 
 @query(f"""WITH {PA}, h AS (SELECT symbol, avg(CAST(sign(p) = sign(y) AS DOUBLE)) AS a, avg(CAST(sign(q) = sign(y) AS DOUBLE)) AS b FROM pa GROUP BY 1)

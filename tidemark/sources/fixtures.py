@@ -42,12 +42,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = (F.col("doc_id") * 7919) % 259200
     return read(spark, sf_dir, "documents").where("text is not null").select(
         F.sha1(F.concat_ws("|", "source", F.col("doc_id").cast("string"))).alias("article_id"), "source", title.alias("title"),
-        F.substring(F.col("text"), F.length(title) + 1, F.lit(1000)).alias("summary"),
+        F.substr(F.col("text"), F.length(title) + 1, F.length("text")).alias("summary"),
         F.timestamp_seconds(F.lit(883612800) + minutes * 60).alias("published_at"), "doc_id")
 
 
 ARTICLES = r"""articles AS (SELECT sha1(concat_ws('|', source, CAST(doc_id AS VARCHAR))) AS article_id, source, regexp_extract(text, '^[^.\n]*') AS title,
- substr(text, length(regexp_extract(text, '^[^.\n]*')) + 1, 1000) AS summary, TIMESTAMP '1998-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 259200 AS INTEGER)) AS published_at,
+ substr(text, length(regexp_extract(text, '^[^.\n]*')) + 1) AS summary, TIMESTAMP '1998-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 259200 AS INTEGER)) AS published_at,
  doc_id FROM documents WHERE text IS NOT NULL)"""
 ALIASES = [("thble", "Brand#1"), ("thing", "Brand#2"), ("thtion", "Brand#3"), ("attion", "Brand#4"), ("erble", "Brand#5"), ("ertion", "Brand#6"),
            ("ering", "Brand#7"), ("thanea", "Brand#8"), ("the thing", "Brand#1"), ("ertion of", "Brand#2"), ("eron", "Brand#8")]

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder of the session; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the checkpoint folder of the session. Where none is set, a temporary one in local mode; on a cluster that is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
