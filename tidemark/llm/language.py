@@ -33,7 +33,7 @@ SAMPLE_CHARS = 30_000
 WINDOW_CHARS = 1_500
 DRAWN = 4
 LANE = 256
-PASSES = 3
+PASSES = 2
 UNKNOWN = "und"
 _kinds: list[np.ndarray] = []
 
@@ -177,7 +177,7 @@ class Automaton:
             entry[redo] = want[redo]
             count[redo], end[redo] = self._run(np.ascontiguousarray(symbols[redo].T), entry[redo])
         want, redo = wrong()
-        table = self.table.tolist() if len(redo) else []
+        table = memoryview(self.table)  # single look-ups in it are cheap, and nothing is copied
         for i in redo.tolist():
             while i < len(lanes) and not first[i] and entry[i] != end[i - 1]:  # and on to the lanes after it that this changes
                 state, n = int(end[i - 1]), 0
