@@ -65,3 +65,8 @@ def extract_articles(pages: DataFrame, source: str, fallback_time: Column | None
     out = pages.select(F.sha1(F.concat_ws("|", F.lit(source), F.col("url"))).alias("article_id"), F.lit(source).alias("source"), title.alias("title"),
                        F.when(F.length(body) > 100, F.substring(tx.first_sentences(body), 1, 1500)).otherwise("").alias("summary"), F.col("url").alias("link"), when.alias("published_at"))
     return out.where((F.length("title") >= 10) & F.col("published_at").isNotNull()).withColumn("title", F.substring("title", 1, 500))
+
+
+def drop_blocked_pages(pages: DataFrame, marks: str = "captcha|access denied") -> DataFrame:
+    """The pages that don't show one of the marks of a refused request; pages without html stay."""
+    return pages.where(~F.coalesce(F.lower("html").rlike(marks), F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
-from tidemark.operators import joins, portfolio, stats, timeseries as ts, writes
+from tidemark.operators import feeds, joins, portfolio, stats, timeseries as ts, writes
 from tidemark.sources import fixtures as fx
 
 QUERIES, SQL = {}, {}
@@ -213,11 +213,15 @@ for _n, _c, _s, _t, _k in (
     ("clip", lambda: tx.clip(F.col("value"), 10.0, 50.0), "greatest(least(value, 50.0), 10.0)", "events", "event_id"),
     ("serial_day", lambda: tx.serial_day(F.to_date("ts")), "CAST(CAST(ts AS DATE) - DATE '1899-12-30' AS INTEGER)", "events", "event_id"),
     ("char_shingles", lambda: F.size(tx.char_shingles(F.col("title"))), "CAST(len(list_distinct(list_transform(range(1, greatest(length(title) - 1, 2)), lambda i: substr(lower(title), i, 3)))) AS INTEGER)", "articles", "article_id"),
-    ("drop_blocked_pages", lambda: F.lower("html").rlike("captcha|access denied"), "regexp_matches(lower(html), 'captcha|access denied')", "pages", "page_id"),
 ):
     _text_query(_n, _c, _s, _t, _k)
 
 
+@query("SELECT page_id, url FROM pages WHERE NOT coalesce(regexp_matches(lower(html), 'captcha|access denied'), false)")
+def drop_blocked_pages(spark, sf_dir):
+    return feeds.drop_blocked_pages(fx.read(spark, sf_dir, "pages")).select("page_id", "url")
+
+
 @query("SELECT event_id, " + ", ".join(f"CAST(isodow(ts) = {k + 1} AS DOUBLE) AS dow_{d}" for k, d in enumerate(("mon", "tue", "wed", "thu", "fri"))) + " FROM events")
 def dow_one_hot(spark, sf_dir):
     return fx.read(spark, sf_dir, "events").select("event_id", *[c.alias(k) for k, c in tx.dow_one_hot(F.to_date("ts")).items()])
