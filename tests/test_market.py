@@ -1,6 +1,7 @@
 """Market operators on small tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,23 @@ def test_rsi_edges(spark):
     assert last([100] * 30) == 50.0 and last(range(100, 130)) == 100.0 and last([100] * 5) is None
 
 
+@pytest.mark.parametrize("n, days", [(14, 120), (3, 20)])
+def test_rsi_by_window_sums_equals_the_fold(spark, n, days):
+    """Over several blocks, with missing dates, null closes, runs without change, and two symbols."""
+    draw = random.Random(n)
+    rows, price = [], 50.0
+    for i in range(700):
+        price = max(1.0, price + draw.choice([0.0, 0.0, 1.0, -1.0, draw.gauss(0, 2)])) if i % 100 < 70 else price
+        if draw.random() < 0.8:
+            rows += [(s, day(i), None if draw.random() < 0.05 else price * f) for s, f in (("A", 1.0), ("B", 0.5))]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    got = ts.with_rsi(bars, n, days).select("*", ts.rsi_wilder(n, days).alias("fold"))
+    at = [(r["symbol"], r["date"], r["rsi_14"], r["fold"]) for r in got.collect() if r["close"] is not None]
+    assert len(at) > 900 and sum(f is not None for *_, f in at) > 400
+    for symbol, date, value, fold in at:
+        assert (value is None) == (fold is None) and (fold is None or abs(value - fold) < 2e-4), (symbol, date, value, fold)
+
+
 def test_bollinger_stays_in_range_and_no_row_without_history(spark):
     b = bars_of(spark, [100 + (i % 5 - 2) * 0.5 for i in range(30)])
     got = [r[0] for r in b.select(ts.bollinger_position()).collect()]

@@ -5,6 +5,8 @@ Every indicator uses the one window (symbol, ordered by date), so a plan with al
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,7 +53,9 @@ def bollinger_position(n: int = 20) -> Column:
 
 
 def rsi_wilder(n: int = 14, days: int = 120) -> Column:
-    """Wilder's index over the last `days` calendar days, its averages seeded by the window's first change."""
+    """Wilder's index over the last `days` calendar days, its averages seeded by the window's first change.
+
+    One column expression that folds each row's window anew; with_rsi gives the same by window sums, for whole tables."""
     window = Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
     closes = F.collect_list("close").over(window)
     changes = F.zip_with(F.slice(closes, F.lit(2), F.size(closes)), F.slice(closes, F.lit(1), F.size(closes) - 1), lambda b, a: b - a)
@@ -68,6 +72,46 @@ def rsi_wilder(n: int = 14, days: int = 120) -> Column:
     return F.when(F.size(closes) > n, F.round(F.aggregate(changes, start, step, index), 4))
 
 
+def with_rsi(bars: DataFrame, n: int = 14, days: int = 120, into: str = "rsi_14") -> DataFrame:
+    """bars plus Wilder's index over the last `days` calendar days, its averages seeded by the window's first change.
+
+    bars hold one row for each symbol and date, so a window has at most days + 1 rows. The average is a sum of changes
+    weighted by (1 - 1/n) ** age, so that it is one window sum instead of a fold over each row's window: weights count
+    from the start of a block of days + 1 rows, and as a window touches two blocks at most, the sums of even and odd
+    blocks are kept apart. The index is null up to n closes; null closes count as absent rows and take the index
+    of the closes before them."""
+    rows = days + 1
+    if n < 2 or rows * math.log(n / (n - 1)) > 600:
+        raise ValueError("n must be 2 or more, and the weights of days + 1 rows must fit a double")
+    a, place = 1.0 / n, (F.col("_k") % rows).cast("double")
+    prior = F.last("close", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))
+    steps = bars.withColumn("_k", F.count("close").over(series().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_d", F.col("close") - prior)
+    grow = F.pow(F.lit(1 - a), -place)
+    odd = F.floor(F.col("_k") / rows) % 2
+    up, down = F.greatest("_d", F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
+    steps = steps.withColumn("_e", F.when(F.col("close").isNotNull(), F.struct(
+        odd.alias("odd"), (F.when(F.col("_d").isNotNull(), up) * grow).alias("g"), (F.when(F.col("_d").isNotNull(), down) * grow).alias("l"))))
+    window = Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
+    sums = [F.sum(F.when(F.col("_e.odd") == o, F.col(f"_e.{side}"))).over(window).alias(f"_{side}{o}") for side in "gl" for o in (0, 1)]
+    found = steps.select("*", *sums, F.first("_e", ignorenulls=True).over(window).alias("_first"),
+                         F.nth_value("_e", 2, ignoreNulls=True).over(window).alias("_second"), F.count("close").over(window).alias("_n"))
+
+    def average(side):
+        def of(o):  # the first row's change lies before the window; the second row's is the seed and counts whole
+            none = F.lit(0.0)
+            lead = F.when(F.col("_first.odd") == o, F.coalesce(F.col(f"_first.{side}"), none)).otherwise(none)
+            seed = F.when(F.col("_second.odd") == o, F.col(f"_second.{side}")).otherwise(none)
+            return a * (F.coalesce(F.col(f"_{side}{o}"), none) - lead) + (1 - a) * seed
+
+        own, other = F.when(odd == 0, of(0)).otherwise(of(1)), F.when(odd == 0, of(1)).otherwise(of(0))
+        return F.pow(F.lit(1 - a), place) * (own + (1 - a) ** rows * other)
+
+    g, l = F.col("_gain"), F.col("_loss")
+    index = F.when((g < 1e-10) & (l < 1e-10), 50.0).when(l < 1e-10, 100.0).otherwise(100 - 100 / (1 + g / l))
+    found = found.withColumn("_gain", average("g")).withColumn("_loss", average("l"))
+    return found.select(*bars.columns, F.when(F.col("_n") > n, F.round(index, 4)).alias(into))
+
+
 def lag_return(n: int, ret: str = "log_return_1d") -> Column:
     return F.lag(ret, n).over(series())
 
@@ -79,8 +123,8 @@ def with_returns(bars: DataFrame) -> DataFrame:
 def technical_features(bars: DataFrame, min_history: int = 60, days: int = 120) -> DataFrame:
     """All indicators on bar dates with at least min_history bars in the last `days` days."""
     recent = F.count("*").over(Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, 0))
-    return with_returns(bars).select(
-        "symbol", "date", rsi_wilder(days=days).alias("rsi_14"), sma(20).alias("ma_20"), sma(50).alias("ma_50"), price_to_ma().alias("price_to_ma20"),
+    return with_returns(with_rsi(bars, days=days)).select(
+        "symbol", "date", "rsi_14", sma(20).alias("ma_20"), sma(50).alias("ma_50"), price_to_ma().alias("price_to_ma20"),
         realised_vol().alias("vol_20d"), relative_volume().alias("rel_volume"), bollinger_position().alias("bb_position"),
         lag_return(1).alias("lag_ret_1d"), lag_return(2).alias("lag_ret_2d"), recent.alias("_recent")).where(F.col("_recent") >= min_history).drop("_recent")
 

@@ -91,7 +91,7 @@ def bollinger_position(spark, sf_dir):
 
 @query(f"WITH {fx.INDICATORS} SELECT symbol, date, {r(RSI, 3)} AS rsi_wilder FROM ind")
 def rsi_wilder(spark, sf_dir):
-    return fx.bars(spark, sf_dir).select("symbol", "date", settled(ts.rsi_wilder(), 3).alias("rsi_wilder"))
+    return ts.with_rsi(fx.bars(spark, sf_dir)).select("symbol", "date", settled(F.col("rsi_14"), 3).alias("rsi_wilder"))
 
 
 @query(f"WITH {fx.BARS} SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT date FROM bars)")
