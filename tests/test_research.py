@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import random
 import statistics
 
 import pytest
@@ -52,6 +53,21 @@ def test_title_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in news.near_dup_pairs(news.distinct_titles(items(spark))).collect()} == want and want
 
 
+def test_pairs_of_titles_near_the_limit_equal_brute_force(spark):
+    """Titles a few letters apart, many of them just above or below the limit."""
+    draw, titles = random.Random(5), set()
+    for _ in range(12):
+        base = "".join(draw.choice("abcde ") for _ in range(draw.randint(8, 40))).strip()
+        for _ in range(12):
+            at = draw.randrange(len(base))
+            base = (base[:at] + draw.choice("abcde") + base[at + draw.randint(0, 1):]).strip()
+            titles.add(base)
+    at = {t: i for i, t in enumerate(sorted(titles))}
+    rows = spark.createDataFrame([(f"{i:03d}", t, moment(i)) for t, i in at.items()], "article_id string, title string, published_at timestamp")
+    want = {(f"{at[x]:03d}", f"{at[y]:03d}") for x, y in itertools.combinations(sorted(titles), 2) if alike(x, y)}
+    assert {(r["a"], r["b"]) for r in news.near_dup_pairs(news.distinct_titles(rows)).collect()} == want and len(want) > 50
+
+
 def test_near_dedup_equals_one_by_one(spark):
     kept = []
     for i, t in enumerate(TITLES):

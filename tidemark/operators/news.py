@@ -82,15 +82,18 @@ def near_dup_pairs(titles: DataFrame, threshold: float = 0.75, k: int = 3) -> Da
 
     titles: low, first. Grams are ranked from rare to frequent; two sets can be that similar only if they share one of their
     first n - ceil(threshold * n) + 1 grams, so that only those are joined. Titles whose sizes differ too much are
-    left out in the join; the rest is confirmed on whole sets."""
+    left out in the join, and so are those whose first shared gram stands so far back in either that the grams from there on
+    are too few; the rest is confirmed on whole sets."""
     sets = titles.select(F.col("first.article_id").alias("id"), F.col("first.published_at").alias("at"), tx.char_shingles(F.col("low"), k).alias("grams"))
     grams = sets.select("id", F.explode("grams").alias("g"))
     ranked = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g")
     by_rank = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
     n = F.size("r")
-    prefix = by_rank.select("id", n.alias("n"), F.explode(F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("e"))
-    x, y = [prefix.select(F.col("e.g").alias("g"), F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "xy"]
-    near = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
+    first = F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    prefix = by_rank.select("id", n.alias("n"), F.posexplode(first).alias("at", "e"))
+    x, y = [prefix.select(F.col("e.g").alias("g"), F.col("id").alias(c), F.col("n").alias(f"n{c}"), (F.col("n") - F.col("at")).alias(f"left{c}")) for c in "xy"]
+    least_common = threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9
+    near = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.least("leftx", "lefty") >= least_common)
     candidates = x.join(y, "g").where(near).select("x", "y").distinct()
     of = lambda c: sets.select(F.col("id").alias(c), F.col("at").alias(f"t{c}"), F.col("grams").alias(f"g{c}"))
     common = F.size(F.array_intersect("gx", "gy"))
