@@ -70,11 +70,31 @@ def op10_main_text(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_nearest(spark, sf_dir):
+    from .ann import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark, sf_dir):
+    from .audit import audit_filters
+
+    return audit_filters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    from .lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     out = [op1_secret_scan, op2_decontaminate, op3_shard, op4_pack, op5_embedding_groups, op6_toxicity, op7_token_counts, op8_language,
-           op9_near_duplicates, op10_main_text]
+           op9_near_duplicates, op10_main_text, op11_nearest, op12_filter_audit, op13_ranked_search]
     return {f.__name__: f for f in out}
 
 
 def oracle_sql():
-    return {}
+    from . import audit, lexical
+
+    return {"op12_filter_audit": audit.ORACLE_SQL, "op13_ranked_search": lexical.ORACLE_SQL}
