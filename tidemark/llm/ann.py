@@ -38,7 +38,7 @@ PER_LIST = 16
 SAMPLE_VALUES = 1 << 24
 REPLICAS = 4
 BOUNDARY = 0.1
-PRUNE = 0.15
+PRUNE = 0.18
 DEGREE = 16
 BEAM = 16
 CHUNK = 2000
