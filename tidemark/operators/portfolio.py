@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import joins
+
+
 def signals(predictions: DataFrame, threshold: float = 0.5, cap: float = 0.10, floor: float = 0.005, fallback: float = 0.15) -> DataFrame:
     """z_score, signal, position_size and pred_close from pred_ret, vol_20d and close."""
     z = F.round(F.col("pred_ret") / F.greatest(F.coalesce(F.col("vol_20d"), F.lit(fallback)), F.lit(floor)), 6)
@@ -115,12 +118,66 @@ def portfolio_metrics(snapshots: DataFrame, trades: DataFrame, capital: float =
     return s.crossJoin(closed).select(*[F.when(F.col("trading_days") > 0, c.cast("double")).otherwise(0.0).alias(k) for k, c in fields.items()])
 
 
-def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """date, value: open positions (date, symbol, signal, entry_price, capital_allocated) at the date's close, at entry where there is no price."""
-    priced = positions.join(prices.select("symbol", "date", "close"), ["symbol", "date"], "left")
+def mark_to_market(positions: DataFrame, prices: DataFrame, stale_days: int | None = None) -> DataFrame:
+    """date, value: open positions (date, symbol, signal, entry_price, capital_allocated) at the date's close, at entry where there is no price.
+
+    With stale_days the newest close up to so many days old stands in for a missing one before the entry price does."""
+    worth = valued(positions, prices, stale_days)
+    return worth.groupBy("date").agg(F.sum(F.col("capital_allocated") + F.col("gain")).alias("value"))
+
+
+def valued(positions: DataFrame, prices: DataFrame, stale_days: int | None = None) -> DataFrame:
+    """positions plus price (null where there is none) and gain, what the position has won or lost at it."""
+    bars = prices.select("symbol", "date", "close")
+    if stale_days is not None:
+        asked = positions.select("symbol", "date").distinct()
+        bars = joins.asof_backward(asked, bars.dropna(), ["close"], stale_days).select("symbol", "date", "close")
     sign = F.when(F.col("signal") == "LONG", 1.0).otherwise(-1.0)
-    gain = F.log(F.coalesce("close", "entry_price") / F.col("entry_price"))
-    return priced.groupBy("date").agg(F.sum(F.col("capital_allocated") * (1 + sign * gain)).alias("value"))
+    priced = positions.join(bars.withColumnRenamed("close", "price"), ["symbol", "date"], "left")
+    gain = F.when(F.col("entry_price") > 0, F.log(F.coalesce("price", "entry_price") / F.col("entry_price"))).otherwise(0.0)
+    return priced.withColumn("gain", F.col("capital_allocated") * sign * gain)
+
+
+def open_positions(trades: DataFrame, dates: DataFrame) -> DataFrame:
+    """The trades (symbol, date of entry, exit_date or null, ..) on every date on which they are open: date, entry_date and their other columns.
+
+    A trade is open from its entry date to the date before its exit, without an exit to the last date. Dates are numbered without gaps
+    (one small row each), so a trade becomes a span of numbers and no range join is needed; an entry or exit between two
+    dates counts from the next one. A trade makes as many rows as it is open for dates, which is the result."""
+    w = Window.orderBy("date")
+    calendar = dates.select("date").distinct().where("date is not null").withColumn("_i", F.row_number().over(w))
+    span = calendar.agg(F.min("date").alias("_a"), F.max("date").alias("_b"), F.max("_i").alias("_n"))
+    days = span.select(F.explode(F.sequence("_a", "_b")).alias("_day")).join(calendar, F.col("_day") == F.col("date"), "left").select(
+        "_day", F.first("_i", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(0, Window.unboundedFollowing)).alias("_at"))  # one row a calendar day
+    clipped = lambda c: F.greatest(F.col(c), F.col("_a"))
+    begun = trades.withColumnRenamed("date", "entry_date").crossJoin(F.broadcast(span)).where("entry_date <= _b")
+    begun = begun.withColumns({"_from": clipped("entry_date"), "_to": F.when(F.col("exit_date") <= F.col("_b"), clipped("exit_date"))})
+    begun = begun.join(F.broadcast(days.select(F.col("_day").alias("_from"), F.col("_at").alias("_first"))), "_from")
+    begun = begun.join(F.broadcast(days.select(F.col("_day").alias("_to"), F.col("_at").alias("_end"))), "_to", "left")
+    last = F.coalesce(F.col("_end") - 1, F.col("_n"))
+    held = begun.where(F.col("_first") <= last).withColumn("_i", F.explode(F.sequence("_first", last)))
+    kept = [c for c in trades.columns if c != "date"]
+    return held.join(F.broadcast(calendar), "_i").select("date", "entry_date", *kept)
+
+
+def daily_valuation(trades: DataFrame, prices: DataFrame, dates: DataFrame, capital: float = 1_000_000.0, cost_bps: float = 20.0, stale_days: int | None = None) -> DataFrame:
+    """One row a date: portfolio_value (capital, what closed trades have brought up to the date, and what open ones are worth more or less than they cost),
+    realised, unrealised, daily_return, cum_return, open_positions, longs, shorts. trades: symbol, date, signal, position_size, entry_price, exit_date, actual_ret, status."""
+    marked = trades.withColumn("capital_allocated", F.lit(capital) * F.col("position_size"))
+    worth = valued(open_positions(marked, dates), prices, stale_days).groupBy("date").agg(
+        F.sum("gain").alias("unrealised"), F.count("*").alias("open_positions"), F.count_if(F.col("signal") == "LONG").alias("longs"), F.count_if(F.col("signal") == "SHORT").alias("shorts"))
+    closed = trade_pnl(trades, capital, cost_bps).groupBy(F.col("exit_date").alias("date")).agg(F.sum("pnl_net").alias("_won"))
+    every = dates.select("date").distinct().where("date is not null").withColumn("_shown", F.lit(True))
+    w = Window.orderBy("date")  # one row a date
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(0.0)
+    rows = every.join(closed, "date", "full").join(worth, "date", "left")  # a trade may close on a date that isn't shown
+    rows = rows.withColumns({"realised": F.sum(F.coalesce("_won", none)).over(so_far), "unrealised": F.coalesce("unrealised", none)}).where("_shown")
+    rows = rows.withColumn("_v", F.lit(capital) + F.col("realised") + F.col("unrealised"))
+    before = F.coalesce(F.lag("_v").over(w), F.lit(capital))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("open_positions", "longs", "shorts")]
+    return rows.select("date", F.round("_v", 2).alias("portfolio_value"), F.round("realised", 2).alias("realised"), F.round("unrealised", 2).alias("unrealised"),
+                       F.round(F.when(before > 0, F.col("_v") / before - 1).otherwise(0.0), 8).alias("daily_return"), F.round(F.col("_v") / capital - 1, 8).alias("cum_return"), *counts)
 
 
 def daily_close_out(open_trades: DataFrame, signals: DataFrame, prices: DataFrame, day: str, value: float, cash: float, cost_bps: float = 20.0, capital: float = 1_000_000.0,

@@ -352,7 +352,7 @@ def stream_counts_batch(spark, sf_dir):
 
 
 def _all():
-    from tidemark.plans import assembling, modelling, research  # noqa: F401  they add their queries
+    from tidemark.plans import assembling, modelling, refitting, research  # noqa: F401  they add their queries
 
     return QUERIES, SQL
 
