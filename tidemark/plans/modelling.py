@@ -155,14 +155,17 @@ def _stream(spark, df, name, parts):
 def stream_ingest(spark, sf_dir):
     """Every article lands twice and is kept once."""
     a = fx.articles(spark, sf_dir).select("article_id", "source", "published_at")
-    out = ingest.stream_ingest(_stream(spark, a.union(a), "landed", 4), work_folder(spark, "ingest"), "article_id", "published_at", lambda d: d.withColumn("trading_date", F.to_date("published_at")))
+    out = ingest.ingest_once(_stream(spark, a.union(a), "landed", 4), work_folder(spark, "ingest"), "article_id", "published_at", lambda d: d.withColumn("trading_date", F.to_date("published_at")), late="200 days")
     return out.drop("published_at")
 
 
 @query(f"WITH {DAILY} SELECT symbol, trading_date, " + ", ".join(f"{r(f'round({c}, 6)', 4)} AS {c}" for c in SENT) + ", articles_used, news_count FROM daily")
 def stream_refresh(spark, sf_dir):
     a = fx.articles(spark, sf_dir).where("source is not null").select(F.col("source").alias("symbol"), F.to_date("published_at").alias("trading_date"), "article_id", "published_at", _item().alias("text"))
-    return _shown(ingest.stream_refresh(_stream(spark, a, "landed", 3), work_folder(spark, "refresh"), ["symbol", "trading_date"], news.sentiment_daily))
+    scored = _stream(spark, a, "landed", 3).withColumn("s", news.score_text(F.col("text"))).select("*", *[F.col(f"s.{k}").alias(f"sent_{k}") for k in ("pos", "neg", "neu")])
+    out = ingest.refresh_latest(scored, work_folder(spark, "refresh"), ["symbol", "trading_date"], ["sent_pos", "sent_neg", "sent_neu"], ["published_at", "article_id"])
+    named = out.withColumns({"sent_spread": F.round(F.col("sent_pos") - F.col("sent_neg"), 6), **{c: F.round(c, 6) for c in SENT[:3]}})
+    return _shown(named.withColumnsRenamed({"used": "articles_used", "total": "news_count"}))
 
 
 @query(f"WITH {fx.BARS}, e AS (SELECT max(date) AS d FROM bars) SELECT symbol, date, {r('CASE WHEN date > d - 5 THEN close + 1 ELSE close END')} AS close FROM bars, e")
