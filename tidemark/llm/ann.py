@@ -42,6 +42,8 @@ PRUNE = 0.18
 DEGREE = 16
 BEAM = 16
 CHUNK = 2000
+#: Queries whose finds a task holds at once.
+HELD = 100_000
 _PAIRS = 1 << 15
 _LARGE = 1e100
 
@@ -187,34 +189,103 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt((((x - q) if scale == 1.0 else (x / scale - q / scale)) ** 2).sum(axis=1)) * scale
 
 
-def _met(k: int):
-    """The k classes nearest to each query of a list, of that list: ties by their smallest id, null last."""
-
-    def run(listed: pa.Table, asking: pa.Table) -> pa.Table:
-        names = ["q", "rep", "ids", "score"]
-        out: tuple[list, list, list] = ([], [], [])
-        if listed.num_rows and asking.num_rows:
-            x, q = _matrix(listed.column("embedding"), listed.num_rows), _matrix(asking.column("embedding"), asking.num_rows)
-            first, none = listed.column("first").combine_chunks(), np.asarray(listed.column("first").is_null())
-            first = first.fill_null(0).to_numpy(zero_copy_only=False)
-            unit = max(float(np.abs(x).max()), float(np.abs(q).max()))
-            xs = x / unit
-            norms = (xs**2).sum(axis=1)
-            for start in range(0, len(q), 256):
-                qs = q[start : start + 256] / unit
-                rough = norms[None] - 2 * qs @ xs.T  # squared distances but for the query's own norm
-                slack = 1e-12 * (norms.max() + (qs**2).sum(axis=1)) * x.shape[1]
-                width = min(k, len(x))
-                kth = np.partition(rough, width - 1, axis=1)[:, width - 1]
-                for i in range(len(qs)):
-                    at = np.flatnonzero(rough[i] <= kth[i] + slack[i])
-                    score = distances(q[start + i], x[at])
-                    best = np.lexsort((first[at], none[at], score))[:k]
-                    out[0].append(np.full(len(best), start + i))
-                    out[1].append(at[best])
-                    out[2].append(score[best])
-        i, at, score = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-        return pa.table([asking.column("q").take(pa.array(i, pa.int64())), *(listed.column(c).take(pa.array(at, pa.int64())) for c in ("rep", "ids")), pa.array(score, pa.float64())], names=names)
+class _Posting(NamedTuple):
+    """Vectors of one list (or a chunk of it), as they are and scaled by unit for a first, rough comparison."""
+
+    x: np.ndarray
+    scaled: np.ndarray
+    norms: np.ndarray
+    unit: float
+    rep: np.ndarray
+    first: np.ndarray
+    none: np.ndarray
+    ids: pa.Array
+
+
+def _posting(parts: list[pa.RecordBatch]) -> _Posting:
+    rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    x = _matrix(rows.column("embedding"), rows.num_rows)
+    unit = float(np.abs(x).max())
+    first = rows.column("first")
+    return _Posting(x, x / unit, ((x / unit) ** 2).sum(axis=1), unit, rows.column("number").to_numpy(), first.fill_null(0).to_numpy(), np.asarray(first.is_null()), rows.column("ids"))
+
+
+class _Found(NamedTuple):
+    """The nearest classes that a query has met so far, nearest first, each once."""
+
+    score: np.ndarray
+    rep: np.ndarray
+    first: np.ndarray
+    none: np.ndarray
+    ids: list
+
+
+def _search(listed: _Posting, asking: pa.RecordBatch, held: dict[int, _Found], k: int) -> None:
+    q, number = _matrix(asking.column("embedding"), asking.num_rows), asking.column("number").to_numpy()
+    for start in range(0, len(q), 256):
+        scaled = q[start : start + 256] / listed.unit
+        own = (scaled**2).sum(axis=1)
+        rough = listed.norms[None] - 2 * scaled @ listed.scaled.T  # squared distances but for the query's own norm
+        slack = 1e-12 * (listed.norms.max() + own) * q.shape[1]
+        width = min(k, len(listed.x))
+        reach = np.partition(rough, width - 1, axis=1)[:, width - 1]
+        for i in range(len(scaled)):
+            before = held.get(int(number[start + i]))
+            limit = reach[i]
+            if before is not None and len(before.score) == k:
+                limit = min(limit, (before.score[-1] / listed.unit) ** 2 * (1 + 1e-12) - own[i])
+            at = np.flatnonzero(~(rough[i] > limit + slack[i]))
+            if not len(at):
+                continue
+            score, rep, first, none, ids = distances(q[start + i], listed.x[at]), listed.rep[at], listed.first[at], listed.none[at], None
+            if before is not None:
+                new = ~np.isin(rep, before.rep)
+                at, score, rep, first, none = at[new], score[new], rep[new], first[new], none[new]
+            best = np.lexsort((first, none, score))[:k]
+            ids = listed.ids.take(pa.array(at[best])).to_pylist()
+            one = _Found(score[best], rep[best], first[best], none[best], ids)
+            if before is not None:
+                both = [np.concatenate([getattr(before, c), getattr(one, c)]) for c in ("score", "rep", "first", "none")]
+                best, ids = np.lexsort((both[2], both[3], both[0]))[:k], before.ids + ids
+                one = _Found(*(c[best] for c in both), [ids[j] for j in best])
+            held[int(number[start + i])] = one
+
+
+def _searcher(k: int):
+    """For each query of a task the k nearest classes over all lists that the task holds; ties by their smallest id, null last.
+
+    Rows come by list, its vectors before its queries. A query's finds stand in memory, those of HELD queries at most; beyond it they
+    are handed on early, and a query is then simply handed on twice."""
+    keys = ("dim", "list", "chunk", "turn", "side")
+
+    def handed(held: dict[int, _Found]) -> pa.RecordBatch:
+        number = np.repeat(np.fromiter(held, np.int64, len(held)), [len(f.score) for f in held.values()])
+        columns = [np.concatenate([getattr(f, c) for f in held.values()]) for c in ("rep", "score")]
+        ids = pa.array([i for f in held.values() for i in f.ids], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.array(columns[0]), ids, pa.array(columns[1])], names=["q", "rep", "ids", "score"])
+
+    def run(batches):
+        held: dict[int, _Found] = {}
+        parts: list[pa.RecordBatch] = []
+        current, listed = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(c).to_numpy() for c in keys])
+            bounds = [0, *(np.flatnonzero(np.any(values[:, 1:] != values[:, :-1], axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                if current != (key := tuple(values[:-1, s])):
+                    current, parts, listed = key, [], None
+                if values[-1, s] == 0:
+                    parts.append(batch.slice(s, e - s))
+                elif parts:
+                    listed = listed or _posting(parts)
+                    _search(listed, batch.slice(s, e - s), held, k)
+            if len(held) > HELD:
+                yield handed(held)
+                held = {}
+        if held:
+            yield handed(held)
 
     return run
 
@@ -263,8 +334,12 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFr
         return df.join(here, ["dim", "list"]).withColumn(own, F.pmod(F.xxhash64(number), F.col(parts)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop(parts, others)
 
-    left, right = dealt(listed, "chunk", "chunks", "rep", "turn", "turns"), dealt(asking, "turn", "turns", "q", "chunk", "chunks")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_met(k + 1), "q long, rep long, ids array<long>, score double")
+    left = dealt(listed.withColumnRenamed("rep", "number"), "chunk", "chunks", "number", "turn", "turns")
+    right = dealt(asking.withColumnRenamed("q", "number"), "turn", "turns", "number", "chunk", "chunks")
+    columns = (*keys, "side", "number", "embedding", "first", "ids")
+    right = right.withColumns({"side": F.lit(1), "first": F.lit(None).cast("long"), "ids": F.lit(None).cast("array<long>")})
+    both = left.withColumn("side", F.lit(0)).select(*columns).unionByName(right.select(*columns))
+    met = both.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_searcher(k + 1), "q long, rep long, ids array<long>, score double")
     near = met.groupBy("q", "rep").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
     entry = F.explode(F.transform("ids", lambda v: F.struct(F.col("score"), v.isNull().alias("none"), v.alias("vec_id"), F.col("rep")))).alias("entry")
     by_rep = Window.partitionBy("q").orderBy("score", F.asc_nulls_last(F.element_at("ids", 1)))
