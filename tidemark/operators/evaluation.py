@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 from tidemark.operators import stats
 
 
-def sequence_windows(features: DataFrame, columns: list[str], label: str, length: int = 30, outlier: float = 0.10) -> DataFrame:
-    """symbol, date, window (the `length` rows before, as arrays), label; rows without a label or with an extreme one go."""
+def sequence_windows(features: DataFrame, columns: list[str], label: str, length: int = 30, outlier: float = 0.10, labelled: bool = True) -> DataFrame:
+    """symbol, date, window (the `length` rows before, as arrays), label; rows without a label or with an extreme one go (with labelled=False they stay)."""
     past = Window.partitionBy("symbol").orderBy("date").rowsBetween(-length, -1)
     out = features.select("symbol", "date", F.collect_list(F.array(*columns)).over(past).alias("window"), F.col(label).alias("label"))
-    return out.where((F.size("window") == length) & (F.abs("label") <= outlier))
+    whole = F.size("window") == length
+    return out.where(whole & (F.abs("label") <= outlier) if labelled else whole)
 
 
 def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15, date: str = "date") -> DataFrame:

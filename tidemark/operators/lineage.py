@@ -1,10 +1,11 @@
-"""Reliable checkpoints."""
+"""Reliable checkpoints and broadcasts of a checked size."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,3 +17,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+#: A side of unknown size is broadcast only when it was counted and has at most this many narrow rows.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else df as it is. The count ends once the bound is passed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,15 +50,15 @@ def score_text(text: Column, positive=POSITIVE, negative=NEGATIVE) -> Column:
     return F.struct(*[(x / total).alias(k) for x, k in zip(parts, ("pos", "neg", "neu"))])
 
 
-def sentiment_daily(items: DataFrame, limit: int = 32, text: str = "text") -> DataFrame:
+def sentiment_daily(items: DataFrame, limit: int = 32, text: str = "text", scorer: Callable[[Column], Column] = score_text) -> DataFrame:
     """Mean scores of the latest `limit` items of each (symbol, trading_date), with counts.
 
-    items: symbol, trading_date, article_id, published_at, text. Only the items that count are scored; all are counted,
+    scorer makes a struct pos, neg, neu of the text: an expression, or a model by scoring.score_with. items: symbol, trading_date, article_id, published_at, text. Only the items that count are scored; all are counted,
     with partial sums before the shuffle."""
     keys = ["symbol", "trading_date"]
     known = items.where("symbol is not null and trading_date is not null")
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("published_at"), F.desc("article_id")))
-    used = known.withColumn("_n", latest).where(F.col("_n") <= limit).withColumn("_s", score_text(F.col(text)))
+    used = known.withColumn("_n", latest).where(F.col("_n") <= limit).withColumn("_s", scorer(F.col(text)))
     means = used.groupBy(*keys).agg(*[F.round(F.avg(f"_s.{k}"), 6).alias(f"sent_{k}") for k in ("pos", "neg", "neu")],
                                     F.round(F.avg("_s.pos") - F.avg("_s.neg"), 6).alias("sent_spread"), F.count("*").alias("articles_used"))
     return means.join(known.groupBy(*keys).agg(F.count("*").alias("news_count")), keys)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import portfolio, walkforward
+from tidemark.operators import evaluation as ev, models, news, portfolio, scoring, walkforward
+from tidemark.plans.modelling import GROUPS, _labelled
 from tidemark.plans.queries import SIGNALS, _TOP, _signals, query, r, settled
-from tidemark.plans.research import PA, _forecasts
+from tidemark.plans.research import PA, _forecasts, _item
 from tidemark.sources import fixtures as fx
 
 # --- walk-forward -------------------------------------------------------------------------------------------------
@@ -79,3 +80,67 @@ def daily_valuation(spark, sf_dir):
     trades, bars = _monthly(spark, sf_dir)
     out = portfolio.daily_valuation(trades, bars, bars.select("date"))
     return out.select("date", settled("portfolio_value", 0).alias("portfolio_value"), settled("cum_return", 4).alias("cum_return"), "open_positions", "longs", "shorts")
+
+
+# --- text scorers -------------------------------------------------------------------------------------------------
+
+
+def _rated(spark, sf_dir):
+    """Articles with a label of their tone: neg if toxic, pos if of quality, else neu; null where labels lack it."""
+    said = fx.read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "neg").when(F.col("quality") == 1, "pos").otherwise("neu").alias("tone"))
+    return fx.articles(spark, sf_dir).select("article_id", "source", "published_at", "doc_id", _item().alias("text")).join(said, "doc_id", "left")
+
+
+LEXICON = fx.ARTICLES + r""", rated AS (SELECT article_id, title || ' ' || summary AS text, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN toxic = 1 THEN 'neg' WHEN quality = 1 THEN 'pos' ELSE 'neu' END END AS tone
+  FROM articles a LEFT JOIN labels l ON l.doc_id = a.doc_id),
+ split AS (SELECT article_id, tone, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM rated), k AS (SELECT tone, unnest(list_distinct(ws)) AS word FROM split WHERE tone IS NOT NULL),
+ cn AS (SELECT count(*) AS n, count(*) FILTER (tone = 'pos') AS np, count(*) FILTER (tone = 'neg') AS nn FROM split WHERE tone IS NOT NULL),
+ d AS (SELECT word, count(*) AS df, count(*) FILTER (tone = 'pos') AS p, count(*) FILTER (tone = 'neg') AS m FROM k GROUP BY 1 HAVING count(*) >= 5),
+ lex AS (SELECT word, greatest(ln((p + 0.5) / (np + 1)) - ln((df - p + 0.5) / (n - np + 1)), 0.0) AS pos, greatest(ln((m + 0.5) / (nn + 1)) - ln((df - m + 0.5) / (n - nn + 1)), 0.0) AS neg FROM d, cn)"""
+
+
+@query(f"WITH {LEXICON} SELECT word, {r('pos')} AS pos, {r('neg')} AS neg FROM lex")
+def learn_lexicon(spark, sf_dir):
+    return scoring.learn_lexicon(_rated(spark, sf_dir), "text", "tone").select("word", *[settled(c).alias(c) for c in ("pos", "neg")])
+
+
+@query(f"""WITH {LEXICON}, u AS (SELECT article_id, unnest(ws) AS word FROM split), h AS (SELECT article_id, sum(pos) AS p, sum(neg) AS m FROM u JOIN lex USING (word) GROUP BY 1),
+ w AS (SELECT s.article_id, 10 * coalesce(p, 0) / greatest(len(ws), 1) AS p, 10 * coalesce(m, 0) / greatest(len(ws), 1) AS m FROM split s LEFT JOIN h USING (article_id)),
+ e AS (SELECT article_id, exp(p) AS p, exp(m) AS m, exp(1.0) AS u FROM w)
+ SELECT article_id, {r('p / (p + m + u)')} AS pos, {r('m / (p + m + u)')} AS neg, {r('u / (p + m + u)')} AS neu FROM e""")
+def lexicon_scores(spark, sf_dir):
+    """Every article by a lexicon that the labelled ones teach."""
+    a = _rated(spark, sf_dir)
+    out = scoring.lexicon_scores(a, scoring.learn_lexicon(a, "text", "tone"), "article_id", "text")
+    return out.select("article_id", *[settled(c).alias(c) for c in scoring.SCORES])
+
+
+@query()
+def model_scores(spark, sf_dir):
+    """Daily means by source, scored by a model fitted on the labelled articles."""
+    a = _rated(spark, sf_dir)
+    model = spark.sparkContext.broadcast(scoring.fit_text_model(a, "text", "tone"))
+    items = a.select(F.col("source").alias("symbol"), F.to_date("published_at").alias("trading_date"), "article_id", "published_at", "text")
+    return news.sentiment_daily(items, scorer=scoring.model_scorer(model))
+
+
+# --- models on windows --------------------------------------------------------------------------------------------
+
+
+def _windows(spark, sf_dir, pool, labelled=True):
+    return models.windowed(_labelled(spark, sf_dir), GROUPS["all"], "target", 30, pool, labelled)
+
+
+@query()
+def predict_windows(spark, sf_dir):
+    rows = ev.chronological_split(_windows(spark, sf_dir, "flat"))
+    model = models.train_regressor(rows.where("split = 'train'"), "x", "target")
+    return models.predict(model, rows.where("split = 'test'"), "x").select("symbol", "date", "pred_ret")
+
+
+@query()
+def ablation_windows(spark, sf_dir):
+    """Pooled windows against windows of all lags."""
+    pooled = _windows(spark, sf_dir, "pooled").withColumnRenamed("x", "pooled")
+    both = pooled.join(_windows(spark, sf_dir, "flat").select("symbol", "date", F.col("x").alias("flat")), ["symbol", "date"])
+    return models.ablation(both, {"pooled": "pooled", "flat": "flat"}, "target")
