@@ -4,8 +4,10 @@ Centroids come from a balanced tree over a bounded sample: a node is split at th
 so leaves hold equally many sampled vectors; a dense region gets as many lists as its rows ask for. The centroids with a
 graph of their near neighbours are small and held in memory by every worker. A vector is listed at its nearest
 centroid, and near a boundary at up to REPLICAS ones whose distance is at most (1 + BOUNDARY) times the nearest. A query
-walks the graph to its nearest centroid and from there to all centroids within (1 + PRUNE) times that distance; only these lists are
-searched. How many they are follows from the data, there is no other cap. Spark joins queries and lists, and every
+walks the graph to its nearest centroid and from there to all centroids within a ratio of that distance; only these lists are
+searched, and there is no other cap on them. The ratio is fitted: up to PROBES vectors of the sample look for their nearest ones in it, and
+the ratio is the least at which their lists would hold RECALL of these. As the sample is thinner than the table, its neighbours lie
+farther off than the table's, so that the ratio is on the safe side. Spark joins queries and lists, and every
 distance is computed on the original vectors in double precision, so scores are exact and only a neighbour in no searched list is missed.
 
 Equal vectors form a class that is listed and searched once and knows its k + 1 smallest ids. Lists of more than CHUNK
@@ -37,8 +39,9 @@ LIST = 128
 PER_LIST = 16
 SAMPLE_VALUES = 1 << 24
 REPLICAS = 4
-BOUNDARY = 0.1
-PRUNE = 0.18
+BOUNDARY = 0.3
+RECALL = 0.97
+PROBES = 400
 DEGREE = 16
 BEAM = 16
 CHUNK = 2000
@@ -55,6 +58,7 @@ class Lists(NamedTuple):
     near: np.ndarray
     entries: np.ndarray
     scale: float
+    ratio: float = 1.0
 
 
 def balanced_centroids(x: np.ndarray, lists: int) -> np.ndarray:
@@ -82,7 +86,28 @@ def build_lists(sample: np.ndarray, lists: int) -> Lists:
         d = norms[None] - 2 * c[start : start + 1024] @ c.T
         d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
         near.append(np.argpartition(d, degree - 1, axis=1)[:, :degree] if degree else np.zeros((len(d), 0), np.int64))
-    return Lists(c, np.concatenate(near).astype(np.int32), np.arange(0, len(c), max(1, math.isqrt(len(c)) // 2)), scale)
+    index = Lists(c, np.concatenate(near).astype(np.int32), np.arange(0, len(c), max(1, math.isqrt(len(c)) // 2)), scale)
+    return index._replace(ratio=_fitted_ratio(index, sample / scale))
+
+
+def _fitted_ratio(index: Lists, x: np.ndarray, k: int = 10) -> float:
+    """How far from its nearest centroid a probe has to look, relative to that one's distance, to find RECALL of its k nearest in x."""
+    x = x[:: max(1, len(x) // 50_000)]
+    k, needed = min(k, len(x) - 1), [np.ones(1)]
+    probes = np.arange(0, len(x), max(1, len(x) // PROBES))
+    norms = (x**2).sum(axis=1)
+    for start in range(0, len(probes) if k else 0, 50):
+        at = probes[start : start + 50]
+        apart = norms[None] - 2 * x[at] @ x.T
+        apart[np.arange(len(at)), at] = np.inf
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        rows, lists = boundary_lists(index, x[near.ravel()] * index.scale)
+        ids = at[rows // k]
+        found = np.full(near.size, np.inf)
+        np.minimum.at(found, rows, _pair_distances(index, x, ids, lists))
+        least = np.sqrt(np.maximum(0, ((index.centroids**2).sum(axis=1)[None] - 2 * x[at] @ index.centroids.T).min(axis=1) + norms[at]))
+        needed.append(found / np.maximum(np.repeat(least, k), 1e-12 * np.sqrt(norms.max())))
+    return max(1.0, float(np.quantile(np.concatenate(needed), RECALL)))
 
 
 def _routed(index: Lists, x: np.ndarray) -> np.ndarray:
@@ -139,7 +164,7 @@ def searched_lists(index: Lists, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Pairs (row, list): the lists within the distance ratio, reached over the graph."""
     x = _routed(index, x)
     ids, d = nearest_lists(index, x)
-    reach = (1 + PRUNE) * d[:, 0]
+    reach = index.ratio * d[:, 0]
     seen = np.zeros((len(x), len(index.centroids)), bool)
     chosen = seen.copy()
     rows, at = np.nonzero(d <= reach[:, None])
@@ -184,9 +209,14 @@ def _listing(lists, choose, carried: tuple[str, ...]):
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Euclidean distances of the vector q to the rows of x, in double precision, safe from overflow."""
-    largest = max(float(np.abs(q).max()), float(np.abs(x).max())) if len(x) else 1.0
-    scale = largest if largest > _LARGE or largest < 1 / _LARGE else 1.0
-    return np.sqrt((((x - q) if scale == 1.0 else (x / scale - q / scale)) ** 2).sum(axis=1)) * scale
+    apart = x - q
+    largest = np.abs(apart).max(axis=1, initial=0.0)
+    odd = (largest > _LARGE) | ((largest < 1 / _LARGE) & (largest > 0))
+    out = np.sqrt((np.where(odd[:, None], 0.0, apart) ** 2).sum(axis=1))
+    if odd.any():
+        unit = largest[odd]
+        out[odd] = np.sqrt(((apart[odd] / unit[:, None]) ** 2).sum(axis=1)) * unit
+    return out
 
 
 class _Posting(NamedTuple):
