@@ -32,6 +32,8 @@ from .common import free_name
 SAMPLE_CHARS = 30_000
 WINDOW_CHARS = 1_500
 DRAWN = 4
+#: Label values that are learned at most: each takes an automaton of some 14 MB in a worker.
+LANGUAGES = 64
 LANE = 256
 PASSES = 2
 UNKNOWN = "und"
@@ -57,20 +59,22 @@ def normalise(text: str) -> tuple[bytes, int]:
     return out.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), letters
 
 
-def labelled_sample(docs: DataFrame, train, chars: int = SAMPLE_CHARS, window: int = WINDOW_CHARS, seed: int = 7) -> dict[str, str]:
+def labelled_sample(docs: DataFrame, train, chars: int = SAMPLE_CHARS, window: int = WINDOW_CHARS, seed: int = 7, languages: int = LANGUAGES) -> dict[str, str]:
     """For each language windows of labelled texts, in hash order, until `chars` characters are reached.
 
-    The share of documents drawn follows from the sum of their windows, so about DRAWN * chars characters a language reach the driver."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.col("doc_id").alias("id"))
+    A document is drawn where its 64-bit hash stays below a bound that follows from the sum of its language's windows, so that about
+    DRAWN * chars characters a language reach the driver, however many documents there are; the one of the least hash is always drawn. Rows of one hash (equal id and text) are one
+    window. Of more than `languages` label values those with the most labelled text are learned, ties by name."""
+    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("h"))
     size = F.length("text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.least(size, F.lit(window))).alias("n")).collect()}
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, DRAWN * chars / max(n, 1)) * 1_000_000))).otherwise(share)
-    drawn = known.withColumn("h", F.xxhash64(F.lit(seed), "id", F.crc32("text"))).where(F.pmod("h", F.lit(1_000_000)) < share)
+    sizes = known.groupBy("lang").agg(F.sum(F.least(size, F.lit(window))).alias("n"), F.min("h").alias("first")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    bounds = [(r["lang"], max(r["first"], min(2**63 - 1, int(2**64 * min(1.0, DRAWN * chars / max(r["n"], 1))) - 2**63))) for r in sizes]
+    least = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    drawn = known.join(F.broadcast(least), "lang").where(F.col("h") <= F.col("bound"))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.greatest(size - window + 1, F.lit(1))).cast("int")
+    windows = drawn.select("lang", "h", F.substr("text", start + 1, F.lit(window)).alias("w")).groupBy("lang", "h").agg(F.min("w").alias("w"))
     out: dict[str, str] = {}
-    for r in drawn.select("lang", "h", F.substr("text", start + 1, F.lit(window)).alias("w")).orderBy("h", "w").toLocalIterator():
+    for r in windows.orderBy("h", "lang").toLocalIterator():
         if len(have := out.get(r["lang"], "")) < chars:
             out[r["lang"]] = have + " " + r["w"]
     return {k: out[k] for k in sorted(out) if any(c.isalpha() for c in out[k])}
