@@ -80,6 +80,12 @@ def _matrix(col, n: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is divided out first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unshared(i: np.ndarray, j: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     """Whether the lists of rows i and j have nothing in common, for each pair."""
     rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -114,8 +120,7 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def _meeting(rows: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What the vectors of one (label, dim, cap, chunks) meeting give: vectors and the links counted there, edges (a, b)."""
     rep, side, copies = (rows.column(k).to_numpy() for k in ("rep", "side", "copies"))
-    x = _matrix(rows.column("embedding"), rows.num_rows)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(_matrix(rows.column("embedding"), rows.num_rows))
     left = np.flatnonzero(side == 0)
     right = left if len(left) == len(side) else np.flatnonzero(side == 1)
     i, j = np.nonzero(x[left] @ x[right].T >= least)
@@ -176,15 +181,16 @@ def meetings(vectors: DataFrame, least: float = 0.93, cap: int = CAP) -> DataFra
     carried = ("rep", "label", "dim", "embedding", "copies")
 
     def lists(batches):
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # codewords of each length, once a task
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 of_dim = batch.filter(pa.array(dims == dim))
                 for start in range(0, of_dim.num_rows, 256):
                     rows = of_dim.slice(start, 256)
-                    x = _matrix(rows.column("embedding"), rows.num_rows)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    found = [np.sort(f) for f in decode(x, code(int(dim), k), z / math.sqrt(dim), listed)]
+                    x = _unit(_matrix(rows.column("embedding"), rows.num_rows))
+                    halves = drawn.get(int(dim)) or drawn.setdefault(int(dim), code(int(dim), k))
+                    found = [np.sort(f) for f in decode(x, halves, z / math.sqrt(dim), listed)]
                     at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                     before = np.concatenate([np.arange(len(f)) for f in found])  # how many caps of smaller number each cap's row names
                     smaller = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(before)]).astype(np.int32)),
