@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.lineage import bounded_broadcast
+
+#: Aliases of one regular expression.
+MOST_ALIASES = 5000
+#: Different numbers of words that the aliases of a dictionary may have.
+MOST_LENGTHS = 32
+
 
 def asof_backward(probes: DataFrame, rows: DataFrame, value: list[str], tolerance_days: int = 5) -> DataFrame:
     """For each probe (symbol, date) the newest row at or before it, at most tolerance_days old: value columns and source_date.
@@ -65,9 +75,79 @@ def tag_pattern(aliases: list[str]) -> str:
 
 
 def tag_symbols(articles: DataFrame, aliases: list[tuple[str, str]], text: Column) -> DataFrame:
-    """(article_id, symbol, match_keyword): one row per symbol found, its first match kept. For dictionaries of a few thousand aliases."""
+    """(article_id, symbol, match_keyword): one row per symbol found, its first match kept. For dictionaries of a few hundred aliases, since the
+    expression tries each at every place; tag_dictionary takes any number."""
+    if len(aliases) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases: use tag_dictionary")
     spark = articles.sparkSession
     table = spark.createDataFrame([(a.lower(), s) for a, s in aliases], "keyword string, symbol string")
     hits = articles.select("article_id", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(tag_pattern([a for a, _ in aliases])), F.lit(1))).alias("pos", "keyword"))
     found = hits.join(F.broadcast(table), "keyword")
     return found.groupBy("article_id", "symbol").agg(F.min_by("keyword", "pos").alias("match_keyword"))
+
+
+#: Word characters of aliases and texts, lower-cased: the borders at which an alias may begin and end.
+WORD = "[a-z0-9_]+"
+
+
+def _grams(lengths: list[int]):
+    """From (article_id, text): the runs of n words for each n, with what stands around them; begin and end in characters."""
+    word = re.compile(WORD)
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            rows, begins, ends, cores, lefts, rights = [], [], [], [], [], []
+            for row, text in enumerate(texts):
+                at = [m.span() for m in word.finditer(text or "")]
+                for i, (begin, _) in enumerate(at):
+                    for n in lengths:
+                        if i + n > len(at):
+                            break
+                        end = at[i + n - 1][1]
+                        rows.append(row)
+                        begins.append(begin)
+                        ends.append(end)
+                        cores.append(text[begin:end])
+                        # up to and with the neighbouring words' nearest character
+                        lefts.append(text[max(at[i - 1][1] - 1, 0) : begin] if i else text[:begin])
+                        rights.append(text[end : at[i + n][0] + 1] if i + n < len(at) else text[end:])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(cores, pa.string()),
+                                              pa.array(lefts, pa.string()), pa.array(rights, pa.string())], names=["article_id", "begin", "end", "core", "left", "right"])
+
+    return run
+
+
+def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> DataFrame:
+    """(article_id, symbol, match_keyword) as tag_symbols, for a dictionary aliases(alias, symbol) of any size.
+
+    Texts are cut into runs of as many words as aliases have; these are joined with the aliases by equality (broadcast up to a counted
+    bound, shuffled beyond it), so that the work follows the text and not the number of aliases. An alias that begins or ends with other
+    characters is joined by its words and then checked with these. Of an article's hits those stay that begin leftmost, of these
+    the longest, without overlap. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
+    lower = F.lower("alias")
+    core = F.regexp_extract(lower, r"(?s)([a-z0-9_](?:.*[a-z0-9_])?)", 1)
+    known = aliases.where("alias is not null and symbol is not null").select(lower.alias("keyword"), "symbol", core.alias("core")).where("core != ''")
+    lead = F.instr("keyword", F.col("core")) - 1
+    table = known.groupBy("keyword", "core").agg(F.collect_set("symbol").alias("symbols")).withColumns({
+        "before": F.substring("keyword", F.lit(1), lead), "after": F.substr("keyword", lead + F.length("core") + 1)})
+    lengths = sorted(r["n"] for r in table.select(F.regexp_count("core", F.lit(WORD)).alias("n")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"aliases of more than {MOST_LENGTHS} different numbers of words")
+    kind = articles.schema["article_id"].dataType.simpleString()
+    grams = articles.select("article_id", F.lower(text).alias("_t")).mapInArrow(_grams(lengths), f"article_id {kind}, begin int, end int, core string, left string, right string")
+    hits = grams.join(bounded_broadcast(table), "core")
+    # the regular expression's borders: the alias's own outer characters, then no word character beyond them
+    border = F.lit(r"[a-z0-9_]\z"), F.lit(r"\A[a-z0-9_]")
+    rest_left, rest_right = F.substr("left", F.lit(1), F.length("left") - F.length("before")), F.substr("right", F.length("after") + 1)
+    fits = F.endswith("left", F.col("before")) & F.startswith("right", F.col("after")) & ~F.regexp(rest_left, border[0]) & ~F.regexp(rest_right, border[1])
+    spans = hits.where(fits).select("article_id", F.struct((F.col("begin") - F.length("before")).alias("begin"), (-F.length("keyword")).alias("size"), "keyword", "symbols").alias("hit"))
+    found = spans.groupBy("article_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    start = F.struct(F.lit(-1).alias("end"), F.slice("hits", 1, 0).alias("kept"))
+
+    def step(acc, hit):
+        return F.when(hit["begin"] >= acc["end"], F.struct((hit["begin"] - hit["size"]).alias("end"), F.concat(acc["kept"], F.array(hit)).alias("kept"))).otherwise(acc)
+
+    kept = found.select("article_id", F.posexplode(F.aggregate("hits", start, step)["kept"]).alias("pos", "hit"))
+    each = kept.select("article_id", "pos", F.col("hit.keyword").alias("keyword"), F.explode("hit.symbols").alias("symbol"))
+    return each.groupBy("article_id", "symbol").agg(F.min_by("keyword", "pos").alias("match_keyword"))

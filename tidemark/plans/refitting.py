@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation as ev, models, news, portfolio, scoring, walkforward
+from tidemark.functions import text as tx
+from tidemark.operators import evaluation as ev, joins, models, news, portfolio, scoring, walkforward
 from tidemark.plans.modelling import GROUPS, _labelled
-from tidemark.plans.queries import SIGNALS, _TOP, _signals, query, r, settled
+from tidemark.plans.queries import SIGNALS, TAGS, _TOP, _signals, query, r, settled
 from tidemark.plans.research import PA, _forecasts, _item
 from tidemark.sources import fixtures as fx
 
@@ -144,3 +145,21 @@ def ablation_windows(spark, sf_dir):
     pooled = _windows(spark, sf_dir, "pooled").withColumnRenamed("x", "pooled")
     both = pooled.join(_windows(spark, sf_dir, "flat").select("symbol", "date", F.col("x").alias("flat")), ["symbol", "date"])
     return models.ablation(both, {"pooled": "pooled", "flat": "flat"}, "target")
+
+
+# --- large dictionaries -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TAGS} SELECT article_id, symbol, match_keyword FROM tags")
+def tag_dictionary(spark, sf_dir):
+    """The aliases of tag_symbols, joined as a table."""
+    aliases = spark.createDataFrame(fx.ALIASES, "alias string, symbol string")
+    return joins.tag_dictionary(fx.articles(spark, sf_dir), aliases, tx.article_text(F.col("title"), F.col("summary")))
+
+
+@query()
+def tag_titles(spark, sf_dir):
+    """A dictionary that grows with the table: the first two words of every title, for its source."""
+    a = fx.articles(spark, sf_dir)
+    aliases = a.select(F.regexp_extract(F.lower("title"), "^([a-z0-9_]+ [a-z0-9_]+)", 1).alias("alias"), F.col("source").alias("symbol")).where("alias != ''").distinct()
+    return joins.tag_dictionary(a, aliases, tx.article_text(F.col("title"), F.col("summary")))
