@@ -32,8 +32,10 @@ def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15,
 
 
 def robust_scale(rows: DataFrame, columns: list[str], fit: DataFrame) -> DataFrame:
-    """(x - median) / (q75 - q25) with the quartiles of fit; a range of zero counts as one. One row is broadcast."""
-    q = fit.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
+    """(x - median) / (q75 - q25) with the exact quartiles of fit; a range of zero counts as one. One row is broadcast."""
+    long = stats.exact_quantiles(fit, columns, [0.25, 0.5, 0.75])
+    at = lambda c, p: F.max(F.when((F.col("column") == c) & (F.col("probability") == p), F.col("value")))
+    q = long.agg(*[F.array(*[at(c, p) for p in (0.25, 0.5, 0.75)]).alias(f"_q_{c}") for c in columns])
 
     def scaled(c):
         low, mid, high = (F.col(f"_q_{c}")[i] for i in range(3))

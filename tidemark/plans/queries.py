@@ -305,7 +305,7 @@ def return_moments(spark, sf_dir):
 
 @query("SELECT event_type, median(value) AS med FROM events GROUP BY 1")
 def column_medians(spark, sf_dir):
-    return fx.read(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("med"))
+    return stats.medians(fx.read(spark, sf_dir, "events"), "value", ["event_type"])
 
 
 @query(f"""WITH {fx.PREDICTIONS}, p AS (SELECT pr.symbol, pred_ret AS p, r.log_return_1d AS a FROM predictions pr JOIN rets r USING (symbol, date))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import evaluation as ev, joins, models, news, portfolio, scoring, walkforward
+from tidemark.operators import evaluation as ev, joins, models, news, portfolio, scoring, sinks, walkforward
 from tidemark.plans.modelling import GROUPS, _labelled
-from tidemark.plans.queries import SIGNALS, TAGS, _TOP, _signals, query, r, settled
+from tidemark.plans.queries import SIGNALS, TAGS, _NEW, _OLD, _TOP, _old_new, _signals, query, r, settled
 from tidemark.plans.research import PA, _forecasts, _item
 from tidemark.sources import fixtures as fx
+from tidemark.streaming.counts import work_folder
 
 # --- walk-forward -------------------------------------------------------------------------------------------------
 
@@ -163,3 +164,36 @@ def tag_titles(spark, sf_dir):
     a = fx.articles(spark, sf_dir)
     aliases = a.select(F.regexp_extract(F.lower("title"), "^([a-z0-9_]+ [a-z0-9_]+)", 1).alias("alias"), F.col("source").alias("symbol")).where("alias != ''").distinct()
     return joins.tag_dictionary(a, aliases, tx.article_text(F.col("title"), F.col("summary")))
+
+
+# --- writes -------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT *, CAST(k % 16 AS INTEGER) AS part FROM (SELECT * FROM {_NEW} UNION ALL SELECT * FROM {_OLD} WHERE k NOT IN (SELECT k FROM {_NEW}))")
+def upsert_partitions(spark, sf_dir):
+    """The tables of upsert, written to a table of sixteen partitions one after the other."""
+    path = work_folder(spark, "orders")
+    for rows in _old_new(spark, sf_dir):
+        sinks.upsert_partitions(rows.withColumn("part", (F.col("k") % 16).cast("int")), path, ["k"], ["part"])
+    return spark.read.parquet(path)
+
+
+@query(f"SELECT 'insert' AS run_type, 'success' AS status, 'rows' AS counter, count(*) AS n FROM {_NEW} UNION ALL SELECT 'insert', 'success', 'large', count(*) FROM {_NEW} WHERE v > 100000")
+def run_counters(spark, sf_dir):
+    """Counters that a run takes while it writes."""
+    folder = work_folder(spark, "runs")
+    with sinks.logged_run(spark, folder, "insert") as run:
+        run.counting(_old_new(spark, sf_dir)[1], rows=F.count("*"), large=F.count_if(F.col("v") > 100000)).write.parquet(f"{folder}/out")
+    return sinks.run_log(spark, folder).select("run_type", "status", F.explode("counters").alias("counter", "n"))
+
+
+@query("SELECT o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS started_at, o_totalprice AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def recent_runs(spark, sf_dir):
+    """Orders stand for runs."""
+    runs = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.to_date("o_orderdate").alias("started_at"), F.col("o_totalprice").alias("total"))
+    return sinks.recent_runs(runs)
+
+
+@query(r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[' || chr(8203) || chr(8204) || chr(8205) || chr(65279) || ']', '', 'g'), '\s+', ' ', 'g')), 1, 500) AS clean FROM documents""")
+def clean_text(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
