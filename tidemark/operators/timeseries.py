@@ -76,40 +76,46 @@ def with_rsi(bars: DataFrame, n: int = 14, days: int = 120, into: str = "rsi_14"
     """bars plus Wilder's index over the last `days` calendar days, its averages seeded by the window's first change.
 
     bars hold one row for each symbol and date, so a window has at most days + 1 rows. The average is a sum of changes
-    weighted by (1 - 1/n) ** age, so that it is one window sum instead of a fold over each row's window: weights count
-    from the start of a block of days + 1 rows, and as a window touches two blocks at most, the sums of even and odd
-    blocks are kept apart. The index is null up to n closes; null closes count as absent rows and take the index
-    of the closes before them."""
+    weighted by (1 - 1/n) ** age. Closes are numbered and cut into blocks of days + 1; weights count from the start of a block and
+    are summed up along it, so the sum over a window is the difference of two running sums: those at its last and its first row, or, as it touches two
+    blocks at most, with the rest of the block before. Each row thus costs the same whatever the window holds. The index
+    is null up to n closes; null closes count as absent rows and take the index of the closes before them."""
     rows = days + 1
     if n < 2 or rows * math.log(n / (n - 1)) > 600:
         raise ValueError("n must be 2 or more, and the weights of days + 1 rows must fit a double")
-    a, place = 1.0 / n, (F.col("_k") % rows).cast("double")
-    prior = F.last("close", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))
-    steps = bars.withColumn("_k", F.count("close").over(series().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_d", F.col("close") - prior)
-    grow = F.pow(F.lit(1 - a), -place)
-    odd = F.floor(F.col("_k") / rows) % 2
-    up, down = F.greatest("_d", F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
-    steps = steps.withColumn("_e", F.when(F.col("close").isNotNull(), F.struct(
-        odd.alias("odd"), (F.when(F.col("_d").isNotNull(), up) * grow).alias("g"), (F.when(F.col("_d").isNotNull(), down) * grow).alias("l"))))
+    a, running = 1.0 / n, Window.unboundedPreceding
+    prior = F.last("close", ignorenulls=True).over(series().rowsBetween(running, -1))
+    steps = bars.withColumn("_k", F.count("close").over(series().rowsBetween(running, 0))).withColumn("_d", F.col("close") - prior)
+    steps = steps.withColumns({"_block": F.floor(F.col("_k") / rows), "_place": (F.col("_k") % rows).cast("double"), "_known": F.col("close").isNotNull()})
+    grow = F.pow(F.lit(1 - a), -F.col("_place"))
+    changed = F.col("_known") & F.col("_d").isNotNull()
+    for side, change in (("g", F.col("_d")), ("l", -F.col("_d"))):
+        steps = steps.withColumn(f"_{side}", F.when(changed, F.greatest(change, F.lit(0.0)) * grow).otherwise(0.0))
+    block = Window.partitionBy("symbol", "_block")
+    along = block.orderBy("date").rowsBetween(running, 0)
+    sums = {f"_{kind}{side}": F.sum(f"_{side}").over(w) for side in "gl" for kind, w in (("to_", along), ("all_", block))}
+    steps = steps.withColumns(sums)
+    steps = steps.withColumn("_e", F.when(F.col("_known"), F.struct(*[F.col(f"_{c}").alias(c) for c in ("k", "block", "place", "g", "l", "to_g", "to_l", "all_g", "all_l")])))
+    steps = steps.withColumn("_next", F.when(F.col("_known"), F.expr("lead(_e, 1) IGNORE NULLS OVER (PARTITION BY symbol ORDER BY date)")))
     window = Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    sums = [F.sum(F.when(F.col("_e.odd") == o, F.col(f"_e.{side}"))).over(window).alias(f"_{side}{o}") for side in "gl" for o in (0, 1)]
-    found = steps.select("*", *sums, F.first("_e", ignorenulls=True).over(window).alias("_first"),
-                         F.nth_value("_e", 2, ignoreNulls=True).over(window).alias("_second"), F.count("close").over(window).alias("_n"))
+    steps = steps.withColumn("_both", F.when(F.col("_known"), F.struct(F.col("_e").alias("e"), F.col("_next").alias("next"))))
+    found = steps.withColumns({"_first": F.first("_both", ignorenulls=True).over(window),
+                               "_now": F.last("_e", ignorenulls=True).over(series().rowsBetween(running, 0))})
+    first, second, now = F.col("_first.e"), F.col("_first.next"), F.col("_now")
 
     def average(side):
-        def of(o):  # the first row's change lies before the window; the second row's is the seed and counts whole
-            none = F.lit(0.0)
-            lead = F.when(F.col("_first.odd") == o, F.coalesce(F.col(f"_first.{side}"), none)).otherwise(none)
-            seed = F.when(F.col("_second.odd") == o, F.col(f"_second.{side}")).otherwise(none)
-            return a * (F.coalesce(F.col(f"_{side}{o}"), none) - lead) + (1 - a) * seed
-
-        own, other = F.when(odd == 0, of(0)).otherwise(of(1)), F.when(odd == 0, of(1)).otherwise(of(0))
-        return F.pow(F.lit(1 - a), place) * (own + (1 - a) ** rows * other)
+        """The window's changes but for its first row's, which lies before it; the second row's is the seed and counts whole."""
+        one = first["block"] == now["block"]
+        own = now[f"to_{side}"] - F.when(one, first[f"to_{side}"]).otherwise(0.0)
+        rest = F.when(one, 0.0).otherwise(first[f"all_{side}"] - first[f"to_{side}"])
+        seed = (1 - a) * second[side]
+        here = second["block"] == now["block"]
+        return F.pow(F.lit(1 - a), now["place"]) * (a * own + F.when(here, seed).otherwise(0.0) + (1 - a) ** rows * (a * rest + F.when(here, 0.0).otherwise(seed)))
 
     g, l = F.col("_gain"), F.col("_loss")
     index = F.when((g < 1e-10) & (l < 1e-10), 50.0).when(l < 1e-10, 100.0).otherwise(100 - 100 / (1 + g / l))
-    found = found.withColumn("_gain", average("g")).withColumn("_loss", average("l"))
-    return found.select(*bars.columns, F.when(F.col("_n") > n, F.round(index, 4)).alias(into))
+    found = found.withColumns({"_gain": average("g"), "_loss": average("l")})
+    return found.select(*bars.columns, F.when(now["k"] - first["k"] + 1 > n, F.round(index, 4)).alias(into))
 
 
 def lag_return(n: int, ret: str = "log_return_1d") -> Column:
