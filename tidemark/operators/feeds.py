@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions import text as tx
 
@@ -46,14 +51,68 @@ TITLES = (r"(?is)<h1\b[^>]*class=[\"'][^\"']*(?:artTitle|article[^\"']*title)[^>
           r"(?is)<h1\b[^>]*>(.*?)</h1>")
 TIMES = (r"(?is)<meta\b[^>]*property=[\"']article:published_time[\"'][^>]*content=[\"']([^\"']+)", r"(?is)<meta\b[^>]*name=[\"']publishdate[\"'][^>]*content=[\"']([^\"']+)",
          r"(?is)<meta\b[^>]*itemprop=[\"']datePublished[\"'][^>]*content=[\"']([^\"']+)", r"(?is)<time\b[^>]*datetime=[\"']([^\"']+)")
-BODY = r"(?is)<(?:article\b|div\b[^>]*class=[\"'][^\"']*(?:artText|article[^\"']*body))[^>]*>(.*?)</(?:article|div)>"
-ASIDES = r"(?is)<(script|style|aside|figure|noscript)\b.*?</\1>"
+BODY = r"(?i)artText|article.*body"  # of a div's class; an article element is a body whatever its class
+ASIDES = ("script", "style", "aside", "figure", "noscript")
 
 
 def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
 
 
+class _Body(HTMLParser):
+    """The text of the first body element, however its elements nest, without asides. An element that is never closed goes on to the page's end."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.body, self.aside, self.open, self.parts, self.ended = None, None, 0, [], False
+
+    def handle_starttag(self, tag, attrs):
+        if self.ended:
+            return
+        if self.body is None:
+            kind = next((v or "" for k, v in attrs if k == "class"), "")
+            if tag == "article" or tag == "div" and re.search(BODY, kind):
+                self.body, self.open = tag, 1
+        elif self.aside is not None:
+            self.within += tag == self.aside
+        elif tag in ASIDES:
+            self.aside, self.within = tag, 1
+        else:
+            self.open += tag == self.body
+
+    def handle_endtag(self, tag):
+        if self.ended or self.body is None:
+            return
+        if self.aside is not None:
+            self.within -= tag == self.aside
+            if not self.within:
+                self.aside = None
+        elif tag == self.body:
+            self.open -= 1
+            self.ended = not self.open
+        self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.body is not None and self.aside is None and not self.ended:
+            self.parts.append(data)
+            self.parts.append(" ")
+
+
+@F.pandas_udf(StringType())
+def article_body(html: pd.Series) -> pd.Series:
+    """The body's text, white space collapsed; empty without a body or page."""
+
+    def one(page):
+        if not page:
+            return ""
+        parser = _Body()
+        parser.feed(page)
+        parser.close()
+        return re.sub(r"\s+", " ", "".join(parser.parts)).strip()
+
+    return html.map(one)
+
+
 def extract_articles(pages: DataFrame, source: str, fallback_time: Column | None = None) -> DataFrame:
     """article_id, source, title, summary, link, published_at of pages(url, html); title of 10 characters or more and a time are needed.
 
@@ -61,7 +120,7 @@ def extract_articles(pages: DataFrame, source: str, fallback_time: Column | None
     tries = [plain(F.regexp_extract("html", p, 1)) for p in TITLES]
     title = F.coalesce(*[F.when(t != "", t) for t in tries])
     when = F.coalesce(*[tx.parse_iso_ts(F.regexp_extract("html", p, 1)) for p in TIMES], *([] if fallback_time is None else [fallback_time]))
-    body = plain(F.regexp_extract(F.regexp_replace("html", ASIDES, " "), BODY, 1))
+    body = article_body("html")
     out = pages.select(F.sha1(F.concat_ws("|", F.lit(source), F.col("url"))).alias("article_id"), F.lit(source).alias("source"), title.alias("title"),
                        F.when(F.length(body) > 100, F.substring(tx.first_sentences(body), 1, 1500)).otherwise("").alias("summary"), F.col("url").alias("link"), when.alias("published_at"))
     return out.where((F.length("title") >= 10) & F.col("published_at").isNotNull()).withColumn("title", F.substring("title", 1, 500))

@@ -16,10 +16,13 @@ POSITIVE = ("thing", "attion", "erble", "gut", "bien")
 NEGATIVE = ("thble", "ertion", "ering", "schlecht", "mal")
 
 
-def normalise_entries(entries: DataFrame) -> DataFrame:
+def normalise_entries(entries: DataFrame, days: tuple[str, str] | None = None) -> DataFrame:
     """article_id, source, title, summary, link, published_at of entries with a link and a title of 8 characters or more.
 
-    Null titles and links count as empty, so such entries go; a null publisher is `google_news`."""
+    Null titles and links count as empty, so such entries go; a null publisher is `google_news`. With days (first, last) only entries
+    published on one of them stay, and those without a time go."""
+    if days is not None:
+        entries = entries.where(F.to_date("published_at").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
     title, link = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("link", F.lit("")))
     kept = entries.where((link != "") & (F.length(title) >= 8))
     return kept.select(F.sha1(F.concat(F.lit("gnews|"), link)).alias("article_id"),

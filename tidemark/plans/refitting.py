@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import evaluation as ev, joins, models, news, portfolio, scoring, sinks, walkforward
 from tidemark.plans.modelling import GROUPS, _labelled
-from tidemark.plans.queries import SIGNALS, TAGS, _NEW, _OLD, _TOP, _old_new, _signals, query, r, settled
-from tidemark.plans.research import PA, _forecasts, _item
+from tidemark.plans.queries import SIGNALS, SQL, TAGS, _NEW, _OLD, _TOP, _old_new, _signals, query, r, settled
+from tidemark.plans.research import PA, _entries, _forecasts, _item, health_report
 from tidemark.sources import fixtures as fx
 from tidemark.streaming.counts import work_folder
 
@@ -197,3 +197,28 @@ def recent_runs(spark, sf_dir):
 @query(r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[' || chr(8203) || chr(8204) || chr(8205) || chr(65279) || ']', '', 'g'), '\s+', ' ', 'g')), 1, 500) AS clean FROM documents""")
 def clean_text(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+
+
+@query(r"""SELECT doc_id, array_to_string(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:3], ' ') AS lead FROM documents""")
+def first_sentences(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", tx.first_sentences(F.col("text")).alias("lead"))
+
+
+# --- feeds and reports --------------------------------------------------------------------------------------------
+
+
+@query("SELECT n.article_id, n.source, n.title, n.link FROM (" + SQL["normalise_feed_entry"] + """) n JOIN pages p ON trim(p.url) = n.link
+ WHERE CAST(TIMESTAMP '1998-01-01 09:00:00' + to_hours(CAST(page_id AS INTEGER)) AS DATE) BETWEEN DATE '1998-01-02' AND DATE '1998-01-03'""")
+def feed_window(spark, sf_dir):
+    """Entries of two publication days."""
+    return news.normalise_entries(_entries(spark, sf_dir), ("1998-01-02", "1998-01-03")).select("article_id", "source", "title", "link")
+
+
+_CHECKS = ("rolling_sharpe", "hit_rate", "information_coefficient", "prediction_bias")
+
+
+@query("SELECT DATE '2001-12-31' AS date, " + ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}, max(CASE WHEN metric = '{m}' THEN status END) AS {m}_status" for m in _CHECKS)
+       + ", count(*) FILTER (status = 'alert') AS alerts FROM (" + SQL["health_report"] + ") h")
+def health_row(spark, sf_dir):
+    """The day's checks as one wide row."""
+    return ev.health_history(health_report(spark, sf_dir), "2001-12-31").select("date", *[c for m in _CHECKS for c in (m, f"{m}_status")], "alerts")
