@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 #: Rows of an Arrow batch while a staged table is written.
 BATCH_ROWS = 1000
+#: Words up to this length may be kept in a worker's table of known words; longer ones are worked out each time, so its bytes are bounded.
+KEPT_WORD = 64
 _own_dir: str | None = None
 
 

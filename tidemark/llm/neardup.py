@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_broadcast, components, free_name, staged
+from .common import KEPT_WORD, bounded_broadcast, components, free_name, staged
 
 WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4  # at similarity 0.8 no band agrees in 3 of a million pairs
@@ -44,9 +44,11 @@ _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 120_000:  # it only saves work
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_WORD:  # it only saves work
+            if len(self) > 60_000:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT_WORD
 from .packing import _byte_of_char, default_tokenizer
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -86,9 +87,11 @@ class _Counts(dict):
         self.match = match
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        n = self[word] = self.match.count(word.encode("utf-8", "surrogatepass"))
+        n = self.match.count(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= KEPT_WORD:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = n
         return n
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import KEPT_WORD, staged
 
 SAMPLE = 2000
 EPOCH_WINDOWS = 12_000
@@ -35,6 +35,8 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 _WORD = re.compile(r"[^\W_]+")
 CACHE = 150_000
+#: Characters of a training text at most.
+SAMPLE_CHARS = 30_000
 
 
 def words(text: str | None) -> list[str]:
@@ -162,18 +164,21 @@ class _Scores(dict):
         self.buckets = buckets.tolist()
 
     def __missing__(self, word: str) -> float:
-        if len(self) > CACHE:
-            self.clear()
         parts = subwords(word)
-        s = self[word] = sum([self.buckets[p] for p in parts]) / len(parts)
+        s = sum([self.buckets[p] for p in parts]) / len(parts)
+        if len(word) <= KEPT_WORD:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = s
         return s
 
 
 _scorers: dict[int, _Scores] = {}
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, train, per_class: int = SAMPLE, seed: int = 5) -> list:
-    """At most per_class texts of each class, in order of a hash of the id, whole."""
+def training_texts(docs: DataFrame, labels: DataFrame, train, per_class: int = SAMPLE, seed: int = 5, chars: int = SAMPLE_CHARS) -> list:
+    """At most per_class texts of each class, in order of a hash of the id; of a text of more than `chars` characters a window of that
+    size, at a place that the hash decides. So at most 2 * per_class * chars characters reach the driver."""
     known = labels.where(F.col("toxic").isin(0, 1) & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     first = [known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(per_class).select("doc_id", "toxic", "h") for label in (0, 1)]
@@ -181,7 +186,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, train, per_class: int = S
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text is not null")
     # Where rows share an id, the one of the smallest text's checksum is taken.
     rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.crc32("text")).alias("text"))
-    return rows.orderBy("doc_id").select("text", "toxic").collect()  # 2 * per_class rows at most
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int")
+    return rows.orderBy("doc_id").select(F.substr("text", start + 1, F.lit(chars)).alias("text"), "toxic").collect()  # 2 * per_class rows at most
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
