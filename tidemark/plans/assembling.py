@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import assembly, evaluation as ev, joins, news, portfolio, readers, timeseries as ts
+from tidemark.operators.lineage import checkpointed
 from tidemark.plans.queries import RSI, SIGNALS, TAGS, _TOP, _TRADES, _signals, _trades, query, r, settled
 from tidemark.plans.research import SCORES, _item
 from tidemark.sources import fixtures as fx
@@ -199,8 +200,8 @@ LEGS = fx.RETS + """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 A
  vret AS (SELECT date, coalesce(avg(log_return_1d) FILTER (leg = 'long'), 0.0) - coalesce(avg(log_return_1d) FILTER (leg = 'short'), 0.0) AS ret FROM d LEFT JOIN (vl JOIN rets USING (symbol, date)) USING (date) GROUP BY 1)"""
 
 
-def _factor(spark, sf_dir, kind):
-    bars = ts.with_returns(fx.bars(spark, sf_dir))
+def _factor(spark, sf_dir, kind, bars=None):
+    bars = ts.with_returns(fx.bars(spark, sf_dir)) if bars is None else bars
     returns = bars.select("symbol", "date", F.col("log_return_1d").alias("ret"))
     dates = portfolio.rebalance_dates(bars.select("date"), 63 if kind == "momentum" else 252)
     scores = portfolio.momentum_scores(returns, dates) if kind == "momentum" else portfolio.value_scores(bars, dates)
@@ -220,8 +221,9 @@ def long_short_factor(spark, sf_dir):
 @query(f"""WITH {LEGS}, b AS (SELECT 'equal_weight' AS strategy, date, avg(log_return_1d) AS daily_ret FROM rets GROUP BY 2 UNION ALL SELECT 'momentum', date, ret FROM mret UNION ALL SELECT 'value', date, ret FROM vret)
  SELECT strategy, date, {r('daily_ret')} AS daily_ret, {r('sum(daily_ret) OVER (PARTITION BY strategy ORDER BY date)', 4)} AS cum_ret FROM b""")
 def benchmark_series(spark, sf_dir):
-    kinds = {k: portfolio.long_short_factor(*_factor(spark, sf_dir, k)) for k in ("momentum", "value")}
-    market = ts.with_returns(fx.bars(spark, sf_dir)).groupBy("date").agg(F.avg("log_return_1d").alias("ret"))
+    bars = checkpointed(ts.with_returns(fx.bars(spark, sf_dir)))  # one scan for all three
+    kinds = {k: portfolio.long_short_factor(*_factor(spark, sf_dir, k, bars)) for k in ("momentum", "value")}
+    market = bars.groupBy("date").agg(F.avg("log_return_1d").alias("ret"))
     out = ev.benchmark_series({"equal_weight": market, **kinds})
     return out.select("strategy", "date", settled("daily_ret").alias("daily_ret"), settled("cum_ret", 4).alias("cum_ret"))
 
@@ -261,11 +263,11 @@ _SNAPS = """, day AS (SELECT exit_date AS date, count(*) AS n, count(*) FILTER (
  t AS (SELECT count(*) AS closed, avg(CAST(pnl_net > 0 AS DOUBLE)) AS hit, avg(pnl_net) FILTER (pnl_net > 0) / abs(avg(pnl_net) FILTER (pnl_net < 0)) AS wl FROM pnl WHERE status = 'closed')"""
 
 
-def _snapshots(spark, sf_dir):
+def _snapshots(closed):
     from pyspark.sql.window import Window
 
     side = lambda s: F.count_if(F.col("signal") == s)
-    day = portfolio.trade_pnl(_trades(spark, sf_dir)).groupBy(F.col("exit_date").alias("date")).agg(
+    day = closed.groupBy(F.col("exit_date").alias("date")).agg(
         F.count("*").alias("open_positions"), side("LONG").alias("longs"), side("SHORT").alias("shorts"), F.sum("pnl_net").alias("daily_pnl"), F.sum("cost").alias("transaction_costs"))
     value = 1e6 + F.sum("daily_pnl").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # one row a day
     return day.withColumn("portfolio_value", value).withColumn("daily_return", F.col("portfolio_value") / (F.col("portfolio_value") - F.col("daily_pnl")) - 1)
@@ -276,7 +278,8 @@ def _snapshots(spark, sf_dir):
   CAST(closed AS DOUBLE) AS total_trades, round(hit * 100, 1) AS hit_rate_pct, round(wl, 1) AS win_loss_ratio, round(costs, 0) AS total_costs, CAST(n AS DOUBLE) AS open_positions, CAST(longs AS DOUBLE) AS open_longs,
   CAST(shorts AS DOUBLE) AS open_shorts, CAST(days AS DOUBLE) AS trading_days FROM s, t""")
 def portfolio_metrics(spark, sf_dir):
-    m = portfolio.portfolio_metrics(_snapshots(spark, sf_dir), portfolio.trade_pnl(_trades(spark, sf_dir)))
+    closed = checkpointed(portfolio.trade_pnl(_trades(spark, sf_dir)))  # for the snapshots and for the figures
+    m = portfolio.portfolio_metrics(_snapshots(closed), closed)
     digits = {"portfolio_value": 0, "today_return_pct": 3, "total_return_pct": 1, "ann_return_pct": 1, "ann_volatility_pct": 1, "sharpe_ratio": 3, "sortino_ratio": 3, "max_drawdown_pct": 1, "total_trades": 0,
               "hit_rate_pct": 1, "win_loss_ratio": 1, "total_costs": 0, "open_positions": 0, "open_longs": 0, "open_shorts": 0, "trading_days": 0}
     return m.select(*[F.round(c, d).alias(c) for c, d in digits.items()])
@@ -336,7 +339,7 @@ def signals_by_conviction(spark, sf_dir):
 
 @query(f"{PNL}{_SNAPS} SELECT date, round(value, 0) AS portfolio_value FROM snaps ORDER BY date DESC LIMIT 1")
 def latest_snapshot(spark, sf_dir):
-    return readers.latest_snapshot(_snapshots(spark, sf_dir)).select("date", F.round("portfolio_value", 0).alias("portfolio_value"))
+    return readers.latest_snapshot(_snapshots(portfolio.trade_pnl(_trades(spark, sf_dir)))).select("date", F.round("portfolio_value", 0).alias("portfolio_value"))
 
 
 @query(f"WITH {fx.BARS} SELECT date, open, high, low, close, volume FROM bars WHERE symbol = 'Brand#11' AND date >= DATE '1997-01-01'")

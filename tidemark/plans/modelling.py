@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import evaluation as ev, feeds, models, news, portfolio, timeseries as ts
+from tidemark.operators.lineage import checkpointed
 from tidemark.plans.queries import SIGNALS, _TOP, _TRADES, _trades, query, r, settled
 from tidemark.plans.research import DAILY, SENT, _item, _shown, health_report
 from tidemark.sources import fixtures as fx
@@ -115,7 +116,7 @@ def strategy_daily_return(spark, sf_dir):
 
 def _factors(spark, sf_dir):
     """Returns by symbol with the market's, momentum's and value's return of the day."""
-    rets = ts.with_returns(fx.bars(spark, sf_dir))
+    rets = checkpointed(ts.with_returns(fx.bars(spark, sf_dir)))
     legs = {"momentum": ts.momentum(), "value": -ts.high_ratio()}
     rows = rets.select("symbol", "date", F.col("log_return_1d").alias("ret")).join(rets.groupBy("date").agg(F.avg("log_return_1d").alias("market")), "date")
     for name, score in legs.items():
