@@ -12,6 +12,7 @@ From the expressions and counts by path the main region of a host follows: the f
 element down to which the text concentrates without being repeated. Each page gives the whole text of that region but for
 elements that are boilerplate by their tag or role, and for those that bear a boilerplate name, if the wrapper agrees: if their text is the
 same on different pages, or mostly links, or they are optional or repeat, or there is only one page text to judge by. A
+boilerplate name is made of boilerplate words and words for a block's form or place alone (`share-buttons`, not `share-price`). A
 name counts for nothing on elements that hold the first article, main or h1 element of the page. No other text is dropped, also not
 what all pages of a host share.
 
@@ -40,6 +41,9 @@ _BOILER_NAME = re.compile(
     r"(?:^|[-_ ])(?:nav(?:bar|igation)?|menus?|header|masthead|footer|side-?bar|comments?|comment-?list|disqus|respon(?:d|ses)|notices?|cookies?|consent|gdpr|banner"
     r"|ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|social|related|recommend\w*|breadcrumbs?|pop-?up|modal|overlay|subscribe|newsletter|signup|login"
     r"|search|widget|toolbar|pagination|pager|skip-?link|tags?|copyright|legal|discussion|replies)(?:$|[-_ ])", re.I)
+#: Words that say of a block only what form it has or where it stands.
+_FORM_WORDS = set("area bar block bottom box btn button buttons col column container content desktop entry form global group heading holder icon icons inner item items label left link links list main "
+                  "mobile outer page panel post posts primary right row secondary section site sticky text title top wrap wrapper".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -71,6 +75,14 @@ class Node:
         self.path = _hash(f"{parent.path} {key}") if parent else 0
 
 
+def boilerplate_name(name: str) -> bool:
+    """Whether a class or id is made of boilerplate words, and of words of form beside them."""
+    rest, found = name.lower(), False
+    while m := _BOILER_NAME.search(rest):
+        found, rest = True, f"{rest[: m.start()]}-{rest[m.end() :]}"
+    return found and all(not w or w in _FORM_WORDS or w.isdigit() for w in re.split(r"[-_ ]", rest))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -138,7 +150,7 @@ def parse(page: str) -> list[Node]:
         name = " ".join(attrs[k] for k in ("class", "id") if attrs.get(k))
         within = opened.get("article") or opened.get("main")
         hard = tag in BOILER and not (tag == "header" and within) or tag == "head" or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        named = bool(name) and any(_BOILER_NAME.search(x) for x in name.split())
+        named = bool(name) and any(map(boilerplate_name, name.split()))
         node = Node(f"{tag}.{_DIGITS.sub('#', name)}" if name else tag, tag, hard, named, stack[-1])
         stack[-1].items.append(node)
         order.append(node)
@@ -236,12 +248,12 @@ def align(x: list[tuple], y: list[tuple]) -> list[tuple]:
     return fold(out)
 
 
-FIELDS = "host string, path long, model string, parent long, key string, tag string, named boolean, depth int, pages long, chars long, links long, lo long, hi long, anchor long"
-_MERGED = ("pages", "chars", "links", "anchor")  # summed
+FIELDS = "host string, path long, model string, parent long, key string, tag string, named boolean, depth int, pages long, chars long, links long, lo long, hi long, anchor long, times long"
+_MERGED = ("pages", "chars", "links", "anchor", "times")  # summed
 
 
 def elements(order: list[Node]) -> dict[tuple[int, str], list]:
-    """(path, content model) -> [parent, key, tag, named, depth, pages, chars, links, lo, hi, anchor] of one page.
+    """(path, content model) -> [parent, key, tag, named, depth, pages, chars, links, lo, hi, anchor, times] of one page.
 
     lo and hi are the least and greatest hash of the texts of the path, kept for the root and for elements with a boilerplate name."""
     rows: dict[tuple[int, str], list] = {}
@@ -255,7 +267,7 @@ def elements(order: list[Node]) -> dict[tuple[int, str], list]:
         text = _hash(" ".join(texts_of(node, None))) if node.named or node.parent is None else 0
         row = rows.get((node.path, model))
         if row is None:
-            row = rows[(node.path, model)] = [node.parent.path if node.parent else 0, node.key, node.tag, node.named, node.depth, 0, 0, 0, text, text, 0]
+            row = rows[(node.path, model)] = [node.parent.path if node.parent else 0, node.key, node.tag, node.named, node.depth, 0, 0, 0, text, text, 0, 0]
         if node.path not in seen:
             seen.add(node.path)
             row[5] += 1
@@ -263,6 +275,7 @@ def elements(order: list[Node]) -> dict[tuple[int, str], list]:
         row[7] += min(node.links, node.chars)
         row[8], row[9] = min(row[8], text), max(row[9], text)
         row[10] += node.anchor
+        row[11] += 1
     return rows
 
 
@@ -284,16 +297,19 @@ def texts_of(top: Node, kept: set[int] | None) -> list[str]:
 
 def choose(rows: list[tuple]) -> tuple[int, list[int]]:
     """Path of the main region, and the paths with a boilerplate name that are content, from a host's
-    rows (path, model, parent, key, tag, named, depth, pages, chars, links, lo, hi, anchor), one a path."""
+    rows (path, model, parent, key, tag, named, depth, pages, chars, links, lo, hi, anchor, times), one a path."""
     of = {r[0]: r for r in rows}
     root = of[0]
     models = {r[0]: json.loads(r[1]) for r in rows}
-    repeats = {_hash(f"{path} {k}") for path, model in models.items() for k, _, r in model if r}
-    inner = {path for path, model in models.items() if any(r for _, _, r in model)}
+    # an expression that grew too long marks all its keys; what repeats in it then shows in the numbers of elements and pages
+    often = {r[0] for r in rows if r[13] > r[7]}
+    bound = {path for path, model in models.items() if model and model[0][0] == "*"}
+    repeats = {_hash(f"{path} {k}") for path, model in models.items() if path not in bound for k, _, r in model if r} | {p for p in often if of[p][2] in bound}
+    inner = {path for path, model in models.items() if path not in bound and any(r for _, _, r in model)} | {of[p][2] for p in often if of[p][2] in bound}
     single = root[10] == root[11]
 
     def boilerplate(r):
-        path, _, parent, _, _, named, _, pages, chars, links, lo, hi, anchor = r
+        path, _, parent, _, _, named, _, pages, chars, links, lo, hi, anchor, _ = r
         if not named or anchor or not path:
             return False
         return single or lo == hi or links >= LINKED * chars or parent not in of or pages < of[parent][7] or path in repeats or path in inner
@@ -346,7 +362,7 @@ def _at(order: list[Node], region: int) -> list[Node]:
 def _joined(a: tuple, b: tuple) -> tuple:
     """One row of a path from two: models aligned, counts summed."""
     return (a[0], json.dumps(align([tuple(x) for x in json.loads(a[1])], [tuple(x) for x in json.loads(b[1])])), *a[2:7],
-            a[7] + b[7], a[8] + b[8], a[9] + b[9], min(a[10], b[10]), max(a[11], b[11]), a[12] + b[12])
+            a[7] + b[7], a[8] + b[8], a[9] + b[9], min(a[10], b[10]), max(a[11], b[11]), a[12] + b[12], a[13] + b[13])
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list) -> pa.RecordBatch:
@@ -375,7 +391,7 @@ def _elements(batches):
             for (path, model), row in elements(parse(text)).items():
                 have = found.setdefault((host, path, model), row)
                 if have is not row:
-                    for k in (5, 6, 7, 10):
+                    for k in (5, 6, 7, 10, 11):
                         have[k] += row[k]
                     have[8], have[9] = min(have[8], row[8]), max(have[9], row[9])
             if len(found) > ROWS:
