@@ -68,3 +68,15 @@ def test_health_history_is_one_row_with_its_alerts(spark):
     assert str(r["date"]) == "2024-01-05" and r["alerts"] == 2 and r["rolling_sharpe"] == 0.1 and r["hit_rate_status"] == "ok"
     assert r["information_coefficient"] is None and r["prediction_bias"] is None and r["sentiment_drift_status"] == "alert"
     assert ev.health_history(report.limit(0), "2024-01-05").select("alerts").first()[0] == 0
+
+
+def test_feed_files_are_scanned_by_element(spark, tmp_path):
+
+
+    body = "".join(f"<item><title>Item {i} &amp; more</title><link> http://x/{i} </link><pubDate>Tue, 02 Jan 2024 10:00:00 +0100</pubDate></item>" for i in range(50))
+    (tmp_path / "a.xml").write_text(f"<rss><channel>{body}<item><title></title></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel><item><title>No time</title><link>http://y</link></item></channel></rss>")
+    now = spark.range(1).select(feeds.feed_time(feeds.F.lit("2025-01-01T00:00:00Z")).alias("t")).first()["t"]
+    rows = {r["link"]: r for r in feeds.feed_items(feeds.landed_items(spark, str(tmp_path)), "s", feeds.F.lit(now)).collect()}
+    assert len(rows) == 51 and rows["http://x/7"]["title"] == "Item 7 & more" and rows["http://x/7"]["published_at"] == dt.datetime(2024, 1, 2, 9)
+    assert rows["http://y"]["published_at"] == now

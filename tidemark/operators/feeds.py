@@ -30,9 +30,21 @@ def _elements(documents: DataFrame, schema: str, at: str) -> DataFrame:
     return documents.select(parsed.alias("x")).select(F.explode(F.col(f"x.{at}")).alias("e")).select("e.*")
 
 
+_ITEM = "title string, link string, description string, pubDate string, updated string"
+
+
+def landed_items(spark: SparkSession, path: str, element: str = "item") -> DataFrame:
+    """The items of feed files below path, scanned by element: large files are split, and none is held as one value. Broken items go."""
+    return spark.read.format("xml").option("rowTag", element).option("mode", "DROPMALFORMED").schema(_ITEM).load(path)
+
+
 def read_feed_items(documents: DataFrame, source: str, fetched_at: Column) -> DataFrame:
     """The items of feed documents(content); the time is pubDate, else updated, else fetched_at. Items without a title go."""
-    items = _elements(documents, "channel struct<item array<struct<title string, link string, description string, pubDate string, updated string>>>", "channel.item")
+    return feed_items(_elements(documents, f"channel struct<item array<struct<{_ITEM}>>>", "channel.item"), source, fetched_at)
+
+
+def feed_items(items: DataFrame, source: str, fetched_at: Column) -> DataFrame:
+    """Article rows of feed items, as read_feed_items gives them."""
     title, link = F.trim("title"), F.trim(F.coalesce("link", F.lit("")))
     return items.where(title != "").select(
         F.sha1(F.concat_ws("|", F.lit(source), link)).alias("article_id"), F.lit(source).alias("source"), title.alias("title"),

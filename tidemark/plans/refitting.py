@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import evaluation as ev, joins, models, news, portfolio, scoring, sinks, walkforward
-from tidemark.plans.modelling import GROUPS, _labelled
+from tidemark.operators import evaluation as ev, feeds, joins, models, news, portfolio, scoring, sinks, timeseries as ts, walkforward
+from tidemark.plans.modelling import GROUPS, _labelled, _page_time
 from tidemark.plans.queries import SIGNALS, SQL, TAGS, _NEW, _OLD, _TOP, _old_new, _signals, query, r, settled
 from tidemark.plans.research import PA, _entries, _forecasts, _item, health_report
 from tidemark.sources import fixtures as fx
@@ -222,3 +222,22 @@ _CHECKS = ("rolling_sharpe", "hit_rate", "information_coefficient", "prediction_
 def health_row(spark, sf_dir):
     """The day's checks as one wide row."""
     return ev.health_history(health_report(spark, sf_dir), "2001-12-31").select("date", *[c for m in _CHECKS for c in (m, f"{m}_status")], "alerts")
+
+
+@query()
+def bootstrap_sharpe(spark, sf_dir):
+    """The interval of the Sharpe ratio of daily means of returns."""
+    daily = ts.with_returns(fx.bars(spark, sf_dir)).groupBy("date").agg(F.avg("log_return_1d").alias("ret"))
+    return ev.bootstrap_moments(daily, "ret", ["date"], ev.sharpe_of_sums)
+
+
+@query(SQL["read_feed_items"])
+def landed_feed_items(spark, sf_dir):
+    """The items of read_feed_items from XML files, scanned by element."""
+    path = work_folder(spark, "feeds")
+    p = fx.read(spark, sf_dir, "pages")
+    rows = p.select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("link"), F.when(F.col("page_id") % 3 == 0, F.date_format(_page_time(), "EEE, dd MMM yyyy HH:mm:ss Z")).alias("pubDate"),
+                    F.when(F.col("page_id") % 3 == 1, F.date_format(_page_time(), "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("updated"))
+    rows.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    out = feeds.feed_items(feeds.landed_items(spark, path), "pages", F.lit("1999-01-01 00:00:00").cast("timestamp"))
+    return out.select("article_id", "title", "link", F.col("published_at").cast("timestamp_ntz"))
