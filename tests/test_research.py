@@ -147,3 +147,47 @@ def test_health_report(spark):
     assert got["rolling_sharpe"] == ("insufficient_data", None) and got["hit_rate"] == ("ok", 0.7)
     assert got["information_coefficient"][0] == "ok" and got["prediction_bias"] == ("ok", 0.0) and got["sentiment_drift"][0] == "ok"
     assert {r["status"] for r in ev.health_report(snaps.where("false"), trades.where("false"), same.where("false")).collect()} == {"insufficient_data"}
+
+
+def rows_of(df, kind):
+    """Rows that the nodes of a kind made in a plan that ran."""
+    out = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if kind in name and rows.isDefined():
+            out.append(rows.get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_titles_of_common_syllables_make_few_candidates(spark):
+    """Titles that share their grams with most others but are like few: no shuffle holds a row for each two of them."""
+    draw = random.Random(3)
+    bits = ["tion", "en", "er", "the", "an", "re", "ing", "th", "on", "ea", "st", "ou"]
+    titles = {"".join(draw.choice([*bits, " "]) for _ in range(draw.randint(4, 60))).strip() or "x" for _ in range(1500)}
+    titles |= {t + " x" for t in sorted(titles, key=lambda t: (len(t), t))[-40:]}
+    at = {t: i for i, t in enumerate(sorted(titles))}
+    rows = spark.createDataFrame([(f"{i:04d}", t, moment(i)) for t, i in at.items()], "article_id string, title string, published_at timestamp")
+    sets = {t: grams(t) for t in at}
+    near = lambda x, y: len(x & y) / len(x | y) >= 0.75
+    want = {(f"{at[x]:04d}", f"{at[y]:04d}") for x, y in itertools.combinations(sorted(titles), 2) if near(sets[x], sets[y])}
+    out = news.near_dup_pairs(news.distinct_titles(rows))
+    assert {(r["a"], r["b"]) for r in out.collect()} == want and len(want) >= 40
+    assert max(rows_of(out, "HashAggregate")) < 20 * len(titles)
+
+
+def test_every_two_sizes_near_enough_share_a_way():
+    for threshold in (0.3, 0.75, 0.9, 1.0):
+        for a in (*range(1, 60), 130, 131, 200):
+            for b in range(a, int(a / threshold + 1e-9) + 1):
+                most = int((a + b) * (1 - threshold) / (1 + threshold) + 1e-9)
+                assert any(most // m <= 1 for m in set(news._ways(a, threshold)) & set(news._ways(b, threshold))), (threshold, a, b)
