@@ -60,3 +60,14 @@ def test_empty_dictionary_and_limits(spark):
     assert tagged(spark, TEXTS, [(None, "x")]) == set()
     with pytest.raises(ValueError, match="tag_dictionary"):
         joins.tag_symbols(spark.createDataFrame([(1, "x")], "article_id long, t string"), [(f"a{i}", "s") for i in range(6000)], F.col("t"))
+
+
+def test_runs_are_handed_on_in_bounded_batches(spark):
+    """A batch of many words makes small batches, and runs that can't be aliases none."""
+    import pyarrow as pa
+
+    table = spark.createDataFrame([("bank of",)], "core string")
+    task = joins._grams([1, 2], spark.sparkContext.broadcast(joins._bitmap(table)))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["bank of " * 30_000, None, "other words " * 50_000])], names=["article_id", "text"])
+    got = [b.num_rows for b in task(iter([texts]))]
+    assert max(got) <= joins.RUN_ROWS + 2 and sum(got) == 30_000

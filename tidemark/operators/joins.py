@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.lineage import bounded_broadcast
+from tidemark.operators.lineage import bounded_broadcast, checkpointed
 
 #: Aliases of one regular expression.
 MOST_ALIASES = 5000
@@ -90,30 +93,57 @@ def tag_symbols(articles: DataFrame, aliases: list[tuple[str, str]], text: Colum
 WORD = "[a-z0-9_]+"
 
 
-def _grams(lengths: list[int]):
-    """From (article_id, text): the runs of n words for each n, with what stands around them; begin and end in characters."""
-    word = re.compile(WORD)
+#: Bits of the bitmap of an alias's words by hash: of a dictionary of any size so much reaches the driver and the tasks.
+BITS = 1 << 22
+#: Rows of one Arrow batch that a task hands on.
+RUN_ROWS = 20_000
+
+
+def _bitmap(table: DataFrame) -> bytes:
+    """One bit for each hash of a core that stands in table, at most BITS / 64 rows on the driver."""
+    at = table.select((F.crc32("core") % BITS).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
+    bits = np.zeros(BITS // 64, "<i8")
+    for w in words:
+        bits[w["w"]] = w["bits"]
+    return bits.tobytes()
+
+
+def _grams(lengths: list[int], bitmap: Broadcast):
+    """From (article_id, text): the runs of n words for each n that may be an alias's by the bitmap, with what stands around them; begin and
+    end in characters. Rows are handed on in batches of RUN_ROWS, whatever texts hold."""
+    word, width = re.compile(WORD), BITS - 1
 
     def run(batches):
+        bits, rows, whose = bitmap.value, [], []
+
+        def taken(keys):
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)]
+            out = pa.RecordBatch.from_arrays([keys.take(pa.array(whose, pa.int64())), *arrays], names=["article_id", "begin", "end", "core", "left", "right"])
+            rows.clear()
+            whose.clear()
+            return out
+
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            rows, begins, ends, cores, lefts, rights = [], [], [], [], [], []
-            for row, text in enumerate(texts):
-                at = [m.span() for m in word.finditer(text or "")]
+            keys = batch.column(0)
+            for row, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                at = [m.span() for m in word.finditer(text)]
                 for i, (begin, _) in enumerate(at):
                     for n in lengths:
                         if i + n > len(at):
                             break
                         end = at[i + n - 1][1]
-                        rows.append(row)
-                        begins.append(begin)
-                        ends.append(end)
-                        cores.append(text[begin:end])
-                        # up to and with the neighbouring words' nearest character
-                        lefts.append(text[max(at[i - 1][1] - 1, 0) : begin] if i else text[:begin])
-                        rights.append(text[end : at[i + n][0] + 1] if i + n < len(at) else text[end:])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(cores, pa.string()),
-                                              pa.array(lefts, pa.string()), pa.array(rights, pa.string())], names=["article_id", "begin", "end", "core", "left", "right"])
+                        core = text[begin:end]
+                        p = crc32(core.encode()) & width
+                        if bits[p >> 3] >> (p & 7) & 1:
+                            # up to and with the neighbouring words' nearest character
+                            rows.append((begin, end, core, text[max(at[i - 1][1] - 1, 0) : begin] if i else text[:begin], text[end : at[i + n][0] + 1] if i + n < len(at) else text[end:]))
+                            whose.append(row)
+                    if len(rows) >= RUN_ROWS:
+                        yield taken(keys)
+            yield taken(keys)
 
     return run
 
@@ -121,27 +151,29 @@ def _grams(lengths: list[int]):
 def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> DataFrame:
     """(article_id, symbol, match_keyword) as tag_symbols, for a dictionary aliases(alias, symbol) of any size.
 
-    Texts are cut into runs of as many words as aliases have; these are joined with the aliases by equality (broadcast up to a counted
-    bound, shuffled beyond it), so that the work follows the text and not the number of aliases. An alias that begins or ends with other
+    Texts are cut into runs of as many words as aliases have; those that a bitmap of the aliases' hashes doesn't rule out are joined with
+    the aliases by equality (broadcast up to a counted bound, shuffled beyond it), so that the work follows the text and not the number of
+    aliases, and rows follow the hits. Symbols are joined to an article's keywords at the end. An alias that begins or ends with other
     characters is joined by its words and then checked with these. Of an article's hits those stay that begin leftmost, of these
     the longest, without overlap. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
     lower = F.lower("alias")
     core = F.regexp_extract(lower, r"(?s)([a-z0-9_](?:.*[a-z0-9_])?)", 1)
     known = aliases.where("alias is not null and symbol is not null").select(lower.alias("keyword"), "symbol", core.alias("core")).where("core != ''")
     lead = F.instr("keyword", F.col("core")) - 1
-    table = known.groupBy("keyword", "core").agg(F.collect_set("symbol").alias("symbols")).withColumns({
-        "before": F.substring("keyword", F.lit(1), lead), "after": F.substr("keyword", lead + F.length("core") + 1)})
+    pairs = checkpointed(known.distinct())
+    table = pairs.select("keyword", "core").distinct().withColumns({"before": F.substring("keyword", F.lit(1), lead), "after": F.substr("keyword", lead + F.length("core") + 1)})
     lengths = sorted(r["n"] for r in table.select(F.regexp_count("core", F.lit(WORD)).alias("n")).distinct().limit(MOST_LENGTHS + 1).collect())
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"aliases of more than {MOST_LENGTHS} different numbers of words")
+    bitmap = articles.sparkSession.sparkContext.broadcast(_bitmap(table))
     kind = articles.schema["article_id"].dataType.simpleString()
-    grams = articles.select("article_id", F.lower(text).alias("_t")).mapInArrow(_grams(lengths), f"article_id {kind}, begin int, end int, core string, left string, right string")
+    grams = articles.select("article_id", F.lower(text).alias("_t")).mapInArrow(_grams(lengths, bitmap), f"article_id {kind}, begin int, end int, core string, left string, right string")
     hits = grams.join(bounded_broadcast(table), "core")
     # the regular expression's borders: the alias's own outer characters, then no word character beyond them
     border = F.lit(r"[a-z0-9_]\z"), F.lit(r"\A[a-z0-9_]")
     rest_left, rest_right = F.substr("left", F.lit(1), F.length("left") - F.length("before")), F.substr("right", F.length("after") + 1)
     fits = F.endswith("left", F.col("before")) & F.startswith("right", F.col("after")) & ~F.regexp(rest_left, border[0]) & ~F.regexp(rest_right, border[1])
-    spans = hits.where(fits).select("article_id", F.struct((F.col("begin") - F.length("before")).alias("begin"), (-F.length("keyword")).alias("size"), "keyword", "symbols").alias("hit"))
+    spans = hits.where(fits).select("article_id", F.struct((F.col("begin") - F.length("before")).alias("begin"), (-F.length("keyword")).alias("size"), "keyword").alias("hit"))
     found = spans.groupBy("article_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     start = F.struct(F.lit(-1).alias("end"), F.slice("hits", 1, 0).alias("kept"))
 
@@ -149,5 +181,6 @@ def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> Dat
         return F.when(hit["begin"] >= acc["end"], F.struct((hit["begin"] - hit["size"]).alias("end"), F.concat(acc["kept"], F.array(hit)).alias("kept"))).otherwise(acc)
 
     kept = found.select("article_id", F.posexplode(F.aggregate("hits", start, step)["kept"]).alias("pos", "hit"))
-    each = kept.select("article_id", "pos", F.col("hit.keyword").alias("keyword"), F.explode("hit.symbols").alias("symbol"))
+    first = kept.groupBy("article_id", F.col("hit.keyword").alias("keyword")).agg(F.min("pos").alias("pos"))
+    each = first.join(bounded_broadcast(pairs.select("keyword", "symbol")), "keyword")
     return each.groupBy("article_id", "symbol").agg(F.min_by("keyword", "pos").alias("match_keyword"))
