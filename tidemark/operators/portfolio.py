@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.text import half_away
 from tidemark.operators import joins
 
 
 def signals(predictions: DataFrame, threshold: float = 0.5, cap: float = 0.10, floor: float = 0.005, fallback: float = 0.15) -> DataFrame:
     """z_score, signal, position_size and pred_close from pred_ret, vol_20d and close."""
-    z = F.round(F.col("pred_ret") / F.greatest(F.coalesce(F.col("vol_20d"), F.lit(fallback)), F.lit(floor)), 6)
+    z = half_away(F.col("pred_ret") / F.greatest(F.coalesce(F.col("vol_20d"), F.lit(fallback)), F.lit(floor)), 6)
     df = predictions.withColumn("z_score", z)
     side = F.when(F.col("z_score") > threshold, "LONG").when(F.col("z_score") < -threshold, "SHORT").otherwise("FLAT")
-    size = F.when(side == "FLAT", 0.0).otherwise(F.round(F.least(F.abs("z_score") / 2, F.lit(cap)), 4))
+    size = F.when(side == "FLAT", 0.0).otherwise(half_away(F.least(F.abs("z_score") / 2, F.lit(cap)), 4))
     return df.withColumns({"signal": side, "position_size": size, "pred_close": F.round(F.col("close") * F.exp("pred_ret"), 2)})
 
 
@@ -32,7 +33,7 @@ def round_trip_trades(rows: DataFrame, bars: DataFrame) -> DataFrame:
     after = Window.partitionBy("symbol").orderBy("date")
     steps = priced.select("symbol", "date", F.col("close").alias("entry_price"), F.lead("date").over(after).alias("exit_date"), F.lead("close").over(after).alias("exit_price"))
     return rows.where("signal != 'FLAT'").select("symbol", "date", "signal", "position_size").join(steps, ["symbol", "date"]).withColumns({
-        "actual_ret": F.round(F.log(F.col("exit_price") / F.col("entry_price")), 8),
+        "actual_ret": half_away(F.log(F.col("exit_price") / F.col("entry_price")), 8),
         "status": F.when(F.col("exit_date").isNull(), "open").otherwise("closed")})
 
 
@@ -40,8 +41,8 @@ def trade_pnl(trades: DataFrame, capital: float = 1_000_000.0, cost_bps: float =
     """Gross and net profit of closed trades; the whole round trip is charged at the exit."""
     alloc = F.lit(capital) * F.col("position_size")
     sign = F.when(F.col("signal") == "LONG", 1.0).otherwise(-1.0)
-    return trades.where("status = 'closed'").withColumns({"pnl_gross": F.round(alloc * sign * F.col("actual_ret"), 4), "cost": F.round(alloc * cost_bps / 1e4, 4)}).withColumn(
-        "pnl_net", F.round(F.col("pnl_gross") - F.col("cost"), 4))
+    return trades.where("status = 'closed'").withColumns({"pnl_gross": half_away(alloc * sign * F.col("actual_ret"), 4), "cost": half_away(alloc * cost_bps / 1e4, 4)}).withColumn(
+        "pnl_net", half_away(F.col("pnl_gross") - F.col("cost"), 4))
 
 
 def equity_curve(trades: DataFrame, capital: float = 1_000_000.0, cost_bps: float = 20.0) -> DataFrame:
@@ -95,9 +96,10 @@ def win_loss(pnl: Column) -> Column:
     return F.coalesce(F.avg(F.when(pnl > 0, pnl)) / F.abs(F.avg(F.when(pnl < 0, pnl))), F.lit(0.0))
 
 
-def portfolio_metrics(snapshots: DataFrame, trades: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
+def portfolio_metrics(snapshots: DataFrame, trades: DataFrame, capital: float = 1_000_000.0, digits: dict[str, int] | None = None) -> DataFrame:
     """One row of twenty figures from snapshots (one a day: date, portfolio_value, daily_pnl, daily_return, transaction_costs, open_positions,
-    longs, shorts) and trades (status, pnl_net); all 0 where there are no snapshots."""
+    longs, shorts) and trades (status, pnl_net); all 0 where there are no snapshots. Each figure is rounded once: to two digits (ratios and
+    today's return to four), or to those that digits gives for it."""
     so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
     top = F.max("portfolio_value").over(so_far)
     marked = snapshots.withColumn("_dd", (F.col("portfolio_value") - top) / top)
@@ -109,13 +111,14 @@ def portfolio_metrics(snapshots: DataFrame, trades: DataFrame, capital: float =
     closed = trades.where("status = 'closed'").agg(F.count("*").alias("_closed"), hit_rate(F.col("pnl_net")).alias("_hit"), win_loss(F.col("pnl_net")).alias("_wl"))
     total = F.col("_portfolio_value") / capital - 1
     annual = annualised_return(total, F.col("trading_days"))
-    fields = {"portfolio_value": F.round("_portfolio_value", 2), "initial_capital": F.lit(round(capital, 2)), "cum_pnl": F.round(F.col("_portfolio_value") - capital, 2),
-              "today_pnl": F.round("_daily_pnl", 2), "today_return_pct": F.round(F.col("_daily_return") * 100, 4), "total_return_pct": F.round(total * 100, 2),
-              "ann_return_pct": F.round(annual * 100, 2), "ann_volatility_pct": F.round(F.col("_vol") * F.sqrt(F.lit(252.0)) * 100, 2), "sharpe_ratio": F.round("_sharpe", 4),
-              "sortino_ratio": F.round("_sortino", 4), "max_drawdown_pct": F.round(F.col("_mdd") * 100, 2), "calmar_ratio": F.round(calmar(annual, F.col("_mdd")), 4),
-              "total_trades": F.col("_closed"), "hit_rate_pct": F.round(F.col("_hit") * 100, 2), "win_loss_ratio": F.round("_wl", 2), "total_costs": F.round("_costs", 2),
-              "open_positions": F.col("_open_positions"), "open_longs": F.col("_longs"), "open_shorts": F.col("_shorts"), "trading_days": F.col("trading_days")}
-    return s.crossJoin(closed).select(*[F.when(F.col("trading_days") > 0, c.cast("double")).otherwise(0.0).alias(k) for k, c in fields.items()])
+    fields = {"portfolio_value": (F.col("_portfolio_value"), 2), "initial_capital": (F.lit(float(capital)), 2), "cum_pnl": (F.col("_portfolio_value") - capital, 2),
+              "today_pnl": (F.col("_daily_pnl"), 2), "today_return_pct": (F.col("_daily_return") * 100, 4), "total_return_pct": (total * 100, 2),
+              "ann_return_pct": (annual * 100, 2), "ann_volatility_pct": (F.col("_vol") * F.sqrt(F.lit(252.0)) * 100, 2), "sharpe_ratio": (F.col("_sharpe"), 4),
+              "sortino_ratio": (F.col("_sortino"), 4), "max_drawdown_pct": (F.col("_mdd") * 100, 2), "calmar_ratio": (calmar(annual, F.col("_mdd")), 4),
+              "total_trades": (F.col("_closed"), 0), "hit_rate_pct": (F.col("_hit") * 100, 2), "win_loss_ratio": (F.col("_wl"), 2), "total_costs": (F.col("_costs"), 2),
+              "open_positions": (F.col("_open_positions"), 0), "open_longs": (F.col("_longs"), 0), "open_shorts": (F.col("_shorts"), 0), "trading_days": (F.col("trading_days"), 0)}
+    fields = {k: half_away(c.cast("double"), (digits or {}).get(k, d)) for k, (c, d) in fields.items()}
+    return s.crossJoin(closed).select(*[F.when(F.col("trading_days") > 0, c).otherwise(0.0).alias(k) for k, c in fields.items()])
 
 
 def mark_to_market(positions: DataFrame, prices: DataFrame, stale_days: int | None = None) -> DataFrame:
