@@ -279,10 +279,9 @@ def _snapshots(closed):
   CAST(shorts AS DOUBLE) AS open_shorts, CAST(days AS DOUBLE) AS trading_days FROM s, t""")
 def portfolio_metrics(spark, sf_dir):
     closed = checkpointed(portfolio.trade_pnl(_trades(spark, sf_dir)))  # for the snapshots and for the figures
-    m = portfolio.portfolio_metrics(_snapshots(closed), closed)
     digits = {"portfolio_value": 0, "today_return_pct": 3, "total_return_pct": 1, "ann_return_pct": 1, "ann_volatility_pct": 1, "sharpe_ratio": 3, "sortino_ratio": 3, "max_drawdown_pct": 1, "total_trades": 0,
               "hit_rate_pct": 1, "win_loss_ratio": 1, "total_costs": 0, "open_positions": 0, "open_longs": 0, "open_shorts": 0, "trading_days": 0}
-    return m.select(*[F.round(c, d).alias(c) for c, d in digits.items()])
+    return portfolio.portfolio_metrics(_snapshots(closed), closed, digits=digits).select(*digits)
 
 
 @query(f"""{PNL} SELECT p.exit_date AS date, round(sum(alloc * (1 + side * ln(coalesce(b.close, entry_price) / entry_price))), 0) AS value FROM pnl p LEFT JOIN bars b ON b.symbol = p.symbol AND b.date = p.exit_date
