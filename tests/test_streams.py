@@ -97,3 +97,15 @@ def test_refresh_latest_writes_only_touched_keys_and_reads_no_item_twice(spark,
     assert {r["s"]: r["v"] for r in run().collect()}["s3"] == 2.0
     assert [r["s"] for r in spark.read.parquet(f"{tmp_path}/w/summary/batch=1").collect()] == ["s3"]
     assert os.listdir(f"{tmp_path}/w").count("items") == 0  # items are not kept at all
+
+
+def test_a_batch_is_dealt_over_all_shuffle_partitions(spark, tmp_path, monkeypatch):
+    from tidemark.plans import modelling
+
+    made = []
+    monkeypatch.setattr(modelling, "work_folder", lambda *a: made.append(str(tmp_path / str(len(made)))) or made[-1])
+    stream = modelling._stream(spark, spark.range(10_000), "dealt", 3)
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(seen) == 10_000 and max(seen) < 4_000
+    assert len(spark.read.parquet(made[0]).inputFiles()) >= int(spark.conf.get("spark.sql.shuffle.partitions"))

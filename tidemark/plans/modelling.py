@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,10 +148,11 @@ def health_history(spark, sf_dir):
 
 
 def _stream(spark, df, name, parts):
-    """df as files of a folder, read as a stream of one file a batch."""
-    path = work_folder(spark, name)
-    df.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """df as files of a folder, read as a stream of so many batches. A batch has as many files as make one for each shuffle partition in all, so that no
+    task writes or reads a whole batch."""
+    path, each = work_folder(spark, name), math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / parts)
+    df.repartition(parts * each).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query(f"WITH {fx.ARTICLES} SELECT article_id, source, CAST(published_at AS DATE) AS trading_date FROM articles")
