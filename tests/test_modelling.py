@@ -101,3 +101,11 @@ def test_late_correction_wins_in_any_order(spark, tmp_path):
     rows = spark.createDataFrame([("a", day, 1.0, 0), ("a", day, 2.0, 1), ("b", day, 3.0, 0)], "symbol string, date date, close double, revision int")
     out = ingest.late_bars(stream(spark, f"{tmp_path}/in", rows, 3), f"{tmp_path}/w", "revision")
     assert sorted((r["symbol"], r["close"]) for r in out.collect()) == [("a", 2.0), ("b", 3.0)]
+
+
+def test_labelled_days_are_derived_from_the_table_once(spark):
+    """Fits and predictions read the days that were written, not the lines again."""
+    from tidemark.plans import modelling
+
+    plan = modelling._labelled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "parquet" not in plan

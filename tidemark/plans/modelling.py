@@ -71,10 +71,10 @@ GROUPS = {"returns": ["lag_ret_1d", "lag_ret_2d"], "band": ["bb_position", "pric
 
 
 def _labelled(spark, sf_dir):
-    """Indicators of a day with the return of the symbol's next bar."""
+    """Indicators of a day with the return of the symbol's next bar, written once: splits, fits and predictions read these rows again and again."""
     rets = ts.with_returns(fx.bars(spark, sf_dir))
-    return rets.select("symbol", "date", ts.lag_return(1).alias("lag_ret_1d"), ts.lag_return(2).alias("lag_ret_2d"), ts.bollinger_position().alias("bb_position"), ts.price_to_ma().alias("price_to_ma20"),
-                       ts.relative_volume().alias("rel_volume"), ts.realised_vol().alias("vol_20d"), F.lead("log_return_1d").over(Window.partitionBy("symbol").orderBy("date")).alias("target"))
+    return checkpointed(rets.select("symbol", "date", ts.lag_return(1).alias("lag_ret_1d"), ts.lag_return(2).alias("lag_ret_2d"), ts.bollinger_position().alias("bb_position"), ts.price_to_ma().alias("price_to_ma20"),
+                       ts.relative_volume().alias("rel_volume"), ts.realised_vol().alias("vol_20d"), F.lead("log_return_1d").over(Window.partitionBy("symbol").orderBy("date")).alias("target")))
 
 
 @query()
