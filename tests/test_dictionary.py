@@ -71,3 +71,17 @@ def test_runs_are_handed_on_in_bounded_batches(spark):
     texts = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["bank of " * 30_000, None, "other words " * 50_000])], names=["article_id", "text"])
     got = [b.num_rows for b in task(iter([texts]))]
     assert max(got) <= joins.RUN_ROWS + 2 and sum(got) == 30_000
+
+
+def test_no_row_holds_an_articles_hits(spark):
+    """Hits are judged one after the other, across batches, and not gathered in a list for each article."""
+    import pyarrow as pa
+
+    parts = [pa.RecordBatch.from_pydict({"article_id": ids, "keyword": words, "begin": pa.array(begins, pa.int32()), "size": pa.array(sizes, pa.int32())})
+             for ids, words, begins, sizes in ((["x", "x"], ["a b", "b"], [0, 2], [3, 1]), (["x", "x", "y"], ["b c", "a b", "b c"], [2, 5, 0], [3, 3, 3]), ([None, None], ["b", "b"], [0, 4], [1, 1]))]
+    got = [tuple(r.values()) for b in joins._leftmost(iter(parts)) for r in b.to_pylist()] if hasattr(joins, "_leftmost") else []
+    a = spark.createDataFrame([(1, "a b " * 20_000)], "article_id long, text string")
+    out = joins.tag_dictionary(a, spark.createDataFrame([("a b", "S"), ("b a", "T")], "alias string, symbol string"), F.col("text"))
+    assert [tuple(r) for r in out.collect()] == [(1, "S", "a b")]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert got == [("x", "a b", 0), ("y", "b c", 0), (None, "b", 0)]

@@ -148,6 +148,23 @@ def _grams(lengths: list[int], bitmap: Broadcast):
     return run
 
 
+def _leftmost(batches):
+    """From (article_id, keyword, begin, size), an article's rows together, leftmost first and of these the longest: the first of each keyword
+    among the hits that don't overlap. Across batches only the last hit's end and the article's keywords are kept."""
+    whose, end, seen = object(), -1, set()
+    for batch in batches:
+        kept = []
+        for i, (key, keyword, begin, size) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if key != whose:
+                whose, end, seen = key, -1, set()
+            if begin >= end:
+                end = begin + size
+                if keyword not in seen:
+                    seen.add(keyword)
+                    kept.append(i)
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:3]], names=["article_id", "keyword", "pos"])
+
+
 def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> DataFrame:
     """(article_id, symbol, match_keyword) as tag_symbols, for a dictionary aliases(alias, symbol) of any size.
 
@@ -155,7 +172,7 @@ def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> Dat
     the aliases by equality (broadcast up to a counted bound, shuffled beyond it), so that the work follows the text and not the number of
     aliases, and rows follow the hits. Symbols are joined to an article's keywords at the end. An alias that begins or ends with other
     characters is joined by its words and then checked with these. Of an article's hits those stay that begin leftmost, of these
-    the longest, without overlap. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
+    the longest, without overlap; they are sorted and judged as a stream, so no row holds an article's hits. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
     lower = F.lower("alias")
     core = F.regexp_extract(lower, r"(?s)([a-z0-9_](?:.*[a-z0-9_])?)", 1)
     known = aliases.where("alias is not null and symbol is not null").select(lower.alias("keyword"), "symbol", core.alias("core")).where("core != ''")
@@ -173,14 +190,8 @@ def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> Dat
     border = F.lit(r"[a-z0-9_]\z"), F.lit(r"\A[a-z0-9_]")
     rest_left, rest_right = F.substr("left", F.lit(1), F.length("left") - F.length("before")), F.substr("right", F.length("after") + 1)
     fits = F.endswith("left", F.col("before")) & F.startswith("right", F.col("after")) & ~F.regexp(rest_left, border[0]) & ~F.regexp(rest_right, border[1])
-    spans = hits.where(fits).select("article_id", F.struct((F.col("begin") - F.length("before")).alias("begin"), (-F.length("keyword")).alias("size"), "keyword").alias("hit"))
-    found = spans.groupBy("article_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    start = F.struct(F.lit(-1).alias("end"), F.slice("hits", 1, 0).alias("kept"))
-
-    def step(acc, hit):
-        return F.when(hit["begin"] >= acc["end"], F.struct((hit["begin"] - hit["size"]).alias("end"), F.concat(acc["kept"], F.array(hit)).alias("kept"))).otherwise(acc)
-
-    kept = found.select("article_id", F.posexplode(F.aggregate("hits", start, step)["kept"]).alias("pos", "hit"))
-    first = kept.groupBy("article_id", F.col("hit.keyword").alias("keyword")).agg(F.min("pos").alias("pos"))
+    spans = hits.where(fits).select("article_id", "keyword", (F.col("begin") - F.length("before")).alias("begin"), F.length("keyword").alias("size"))
+    ordered = spans.repartition("article_id").sortWithinPartitions("article_id", "begin", F.desc("size"))
+    first = ordered.mapInArrow(_leftmost, f"article_id {kind}, keyword string, pos int")
     each = first.join(bounded_broadcast(pairs.select("keyword", "symbol")), "keyword")
     return each.groupBy("article_id", "symbol").agg(F.min_by("keyword", "pos").alias("match_keyword"))
