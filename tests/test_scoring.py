@@ -168,3 +168,25 @@ def test_ablation_and_retraining_take_windows(spark, lagged, tmp_path):
     assert m["flat"]["rmse"] < 0.5 * m["pooled"]["rmse"] and m["flat"]["n"] == m["pooled"]["n"]
     log = models.retrain_recent(flat, "x", "y", f"{tmp_path}/models", "v1", days=200).first()
     assert log["status"] == "fitted" and log["hit_rate"] > 0.9
+
+
+def test_the_fit_reads_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [(f"good{i % 3} fine", "pos") if i % 2 else (f"bad{i % 3} poor", "neg") for i in range(40)]
+    items = spark.createDataFrame(rows, "text string, tone string").withColumn("text", F.udf(counted, "string")("text"))
+    scoring.fit_text_model(items, "text", "tone", buckets=64, rounds=3)
+    assert seen.value == 40
+
+
+def test_items_of_one_time_and_without_a_time_count_up_to_the_limit(spark):
+    """Of equal and missing times the larger ids count, and a group smaller than the limit whole."""
+    rows = [("S", f"{i:02d}", "1998-01-05 10:00:00" if i < 6 else None, "thing" if i in (4, 5) else "thble") for i in range(9)] + [("T", "a", None, "thing"), ("T", "b", None, "thble")]
+    items = spark.createDataFrame(rows, "symbol string, article_id string, at string, text string").selectExpr("symbol", "date'1998-01-05' AS trading_date", "article_id", "timestamp(at) AS published_at", "text")
+    for limit, used, pos in ((2, 2, True), (7, 7, False)):
+        got = {r["symbol"]: r for r in news.sentiment_daily(items, limit).collect()}
+        assert got["S"]["articles_used"] == used and got["S"]["news_count"] == 9 and got["T"]["articles_used"] == 2 and (got["S"]["sent_spread"] > 0) == pos
