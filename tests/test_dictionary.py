@@ -85,3 +85,70 @@ def test_no_row_holds_an_articles_hits(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "S", "a b")]
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
     assert got == [("x", "a b", 0), ("y", "b c", 0), (None, "b", 0)]
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan that ran have written."""
+    out = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        rows = node.metrics().get("shuffleRecordsWritten")
+        out.extend([rows.get().value()] if rows.isDefined() else [])
+        for i in range(node.children().length()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_only_tags_are_shuffled(spark):
+    """An article's hits are judged where its text is read: what goes to disk follows the tags, not the hits nor their symbols."""
+    a = spark.createDataFrame([(i, "bank of india, " * 50) for i in range(200)], "article_id long, text string")
+    d = spark.createDataFrame([("bank of", "X"), ("bank of", "Y"), ("india", "Y"), ("india", "Z")], "alias string, symbol string")
+    out = joins.tag_dictionary(a, d, F.col("text"))
+    assert {tuple(r) for r in out.collect()} == {(i, s, k) for i in range(200) for s, k in (("X", "bank of"), ("Y", "bank of"), ("Z", "india"))}
+    assert sum(shuffled_rows(out)) <= 600
+
+
+@pytest.mark.parametrize("bytes_held", [0, 128 << 20])
+def test_held_and_joined_dictionaries_tag_alike(spark, monkeypatch, bytes_held):
+    monkeypatch.setattr(joins, "HELD_BYTES", bytes_held)
+    texts = {k: v for k, v in TEXTS.items() if k != 11}
+    assert tagged(spark, texts, ALIASES) == by_regex(texts, ALIASES)
+    a, none = spark.createDataFrame([(None, "bank"), (1, "bank")], "article_id long, text string"), spark.createDataFrame([], "alias string, symbol string")
+    assert joins.tag_dictionary(a, none, F.col("text")).count() == 0
+    got = joins.tag_dictionary(a, spark.createDataFrame([("Bank", "B")], "alias string, symbol string"), F.col("text")).collect()
+    assert {tuple(r) for r in got} == {(None, "B", "bank"), (1, "B", "bank")}
+
+
+@pytest.mark.parametrize("piece,run_rows", [(1 << 20, 20_000), (40, 3), (1, 1)])
+def test_texts_are_tagged_in_pieces(spark, monkeypatch, piece, run_rows):
+    """Pieces and shares of any size give the same tags, and no run goes from one text to the next."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(joins, "PIECE", piece)
+    monkeypatch.setattr(joins, "RUN_ROWS", run_rows)
+    rng = random.Random(2)
+    words = ["a", "b", "ü", "a_", "ab", ".", "a\n", "\nb"]
+    aliases = [("".join(rng.choices(words, k=rng.randrange(1, 6))) if i % 2 else " ".join(rng.choices(words, k=rng.randrange(1, 6))), f"s{rng.randrange(5)}") for i in range(80)]
+    texts = {i: "".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(25))) for i in range(80)}
+    known = {}
+    for alias, symbol in aliases:
+        if core := re.search(r"(?s)[a-z0-9_](?:.*[a-z0-9_])?", alias):
+            known.setdefault((alias, core.group()), set()).add(symbol)
+    table = spark.createDataFrame([(core, len(alias[: alias.index(core)].encode()), alias, sorted(s)) for (alias, core), s in known.items()], "core string, lead int, keyword string, symbols array<string>")
+    held = spark.sparkContext.broadcast(joins._held(table.select(F.crc32("core").alias("hash"), "lead", "keyword", "symbols")))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["article_id", "text"])
+    lengths = sorted({len(re.findall(joins.WORD, core)) for _, core in known})
+    out = list(joins._tags(lengths, held)(iter([batch])))
+    first = {}
+    for r in (r for b in out for r in b.to_pylist()):
+        key = r["article_id"], r["symbol"]
+        first[key] = min(first.get(key, (r["pos"], r["match_keyword"])), (r["pos"], r["match_keyword"]))
+    assert max(b.num_rows for b in out) <= run_rows
+    assert {(*k, word) for k, (_, word) in first.items()} == by_regex(texts, aliases)

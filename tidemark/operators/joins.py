@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,12 @@ WORD = "[a-z0-9_]+"
 BITS = 1 << 22
 #: Rows of one Arrow batch that a task hands on.
 RUN_ROWS = 20_000
+#: Bytes of a dictionary that each task may hold; a larger one is joined.
+HELD_BYTES = 128 << 20
+#: Bytes of text that a task looks through at a time, besides the longest text, and pairs of article and symbol that it then holds.
+PIECE = 1 << 20
+#: Whether a byte is a word character.
+_IS_WORD = np.array([re.fullmatch(WORD.encode(), bytes([c])) is not None for c in range(256)])
 
 
 def _bitmap(table: DataFrame) -> bytes:
@@ -165,25 +172,141 @@ def _leftmost(batches):
         yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:3]], names=["article_id", "keyword", "pos"])
 
 
+def _held(table: DataFrame) -> dict:
+    """What a task holds of a dictionary (hash, lead, keyword, symbols) of at most HELD_BYTES: its rows by hash, their symbols from `until` on
+    as `codes` of `names`, and a bitmap of the hashes with 16 bits a row at least."""
+    rows = table.toArrow().sort_by("hash")
+    hashes = rows["hash"].to_numpy().astype(np.uint32)
+    symbols = rows["symbols"].combine_chunks()
+    names = symbols.flatten().dictionary_encode()
+    bits = np.zeros(max(BITS, 1 << (16 * len(hashes)).bit_length()), bool)
+    bits[hashes & np.uint32(len(bits) - 1)] = True
+    return {"hash": hashes, "lead": rows["lead"].to_numpy().astype(np.int32), "words": rows["keyword"].cast(pa.binary()).combine_chunks(),
+            "until": np.concatenate([[0], np.cumsum(symbols.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32),
+            "codes": names.indices.to_numpy(), "names": names.dictionary, "bits": np.packbits(bits, bitorder="little")}
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges of so many numbers, from first on: to which each number belongs, and the numbers."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) + np.repeat(first - np.cumsum(counts) + counts, counts)
+
+
+def _hits(data: bytes, lengths: list[int], held: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, row of the dictionary) of the runs of n words that are an alias's and stand in data between other characters, leftmost
+    first and of these the longest. Runs are found by their hash and compared; data begins and ends with another character."""
+    word = _IS_WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    found, last = [np.zeros((3, 0), np.int64)], np.uint32(len(held["bits"]) * 8 - 1)
+    for n in lengths:
+        for i in range(0, len(begins) - n + 1, RUN_ROWS):
+            begin = begins[i : min(i + RUN_ROWS, len(begins) - n + 1)]
+            end = ends[i + n - 1 : i + n - 1 + len(begin)]
+            hashes = np.fromiter((crc32(data[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint32, len(begin))
+            p = hashes & last
+            maybe = (held["bits"][p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            begin, hashes = begin[maybe], hashes[maybe]
+            first = np.searchsorted(held["hash"], hashes)
+            which, row = _ranges(first, np.searchsorted(held["hash"], hashes, "right") - first)
+            words = held["words"].take(pa.array(row))
+            begin = begin[which] - held["lead"][row]
+            end = begin + pc.binary_length(words).to_numpy(zero_copy_only=False)
+            inside = (begin > 0) & (end < len(data))
+            # the regular expression's borders: no word character beyond the alias's own outer characters
+            inside[inside] = ~word[begin[inside] - 1] & ~word[end[inside]]
+            inside &= np.array([data[b:e] == w for b, e, w in zip(begin.tolist(), end.tolist(), words.to_pylist(), strict=True)], bool)
+            found.append(np.stack([begin, end, row])[:, inside])
+    begin, end, row = np.concatenate(found, axis=1)
+    order = np.lexsort((-end, begin))
+    return begin[order], end[order], row[order]
+
+
+def _apart(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of spans in order those that don't overlap one kept before."""
+    kept, free = [], 0
+    for i in range(0, len(begin), RUN_ROWS):
+        for j, (b, e) in enumerate(zip(begin[i : i + RUN_ROWS].tolist(), end[i : i + RUN_ROWS].tolist(), strict=True), i):
+            if b >= free:
+                kept.append(j)
+                free = e
+    return np.array(kept, np.int64)
+
+
+def _first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of equal pairs the first, in order."""
+    return np.sort(np.unique(a * (b.max(initial=0) + 1) + b, return_index=True)[1])
+
+
+def _tags(lengths: list[int], held: Broadcast):
+    """From (article_id, text): (article_id, symbol, match_keyword, pos) by a dictionary that the task holds, an article's symbol with its first
+    keyword. Texts are looked through in pieces of about PIECE bytes; only what is kept leaves the task."""
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary())
+            pieces = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // PIECE
+            cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(column)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = column.slice(low, high - low).to_pylist()
+                stops = np.cumsum([len(t) + 1 for t in texts])
+                starts = np.concatenate([[0], stops])[:-1] + 1
+                begin, end, row = _hits(b"\n" + b"\n".join(texts) + b"\n", lengths, known)
+                whose = np.searchsorted(starts, begin, "right") - 1
+                within = end <= stops[whose]  # not across texts
+                begin, end, row, whose = (x[within] for x in (begin, end, row, whose))
+                kept = _apart(begin, end)
+                kept = kept[_first(whose[kept], row[kept])]
+                counts = known["until"][row[kept] + 1] - known["until"][row[kept]]
+                shares = np.cumsum(counts, dtype=np.int64) // PIECE
+                for share in np.split(kept, np.flatnonzero(np.diff(shares)) + 1):
+                    which, at = _ranges(known["until"][row[share]], known["until"][row[share] + 1] - known["until"][row[share]])
+                    codes, which = known["codes"][at], share[which]
+                    only = _first(whose[which], codes.astype(np.int64))
+                    codes, which = codes[only], which[only]
+                    for i in range(0, len(which), RUN_ROWS):
+                        of = which[i : i + RUN_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(low + whose[of])), known["names"].take(pa.array(codes[i : i + RUN_ROWS])),
+                             known["words"].take(pa.array(row[of])).view(pa.string()), pa.array(begin[of] - starts[whose[of]], pa.int32())],
+                            names=["article_id", "symbol", "match_keyword", "pos"])
+
+    return run
+
+
 def tag_dictionary(articles: DataFrame, aliases: DataFrame, text: Column) -> DataFrame:
     """(article_id, symbol, match_keyword) as tag_symbols, for a dictionary aliases(alias, symbol) of any size.
 
-    Texts are cut into runs of as many words as aliases have; those that a bitmap of the aliases' hashes doesn't rule out are joined with
-    the aliases by equality (broadcast up to a counted bound, shuffled beyond it), so that the work follows the text and not the number of
-    aliases, and rows follow the hits. Symbols are joined to an article's keywords at the end. An alias that begins or ends with other
-    characters is joined by its words and then checked with these. Of an article's hits those stay that begin leftmost, of these
-    the longest, without overlap; they are sorted and judged as a stream, so no row holds an article's hits. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
+    Texts are cut into runs of as many words as aliases have; those that a bitmap of the aliases' hashes doesn't rule out are compared with
+    the aliases, so that the work follows the text and not the number of aliases. An alias that begins or ends with other
+    characters is found by its words and then checked with these. Of an article's hits those stay that begin leftmost, of these
+    the longest, without overlap. Up to HELD_BYTES, counted first, each task holds the dictionary: it judges an article's hits where it reads
+    the text, and only the tags are shuffled. A larger dictionary is joined with the runs by equality (broadcast up to a counted bound, shuffled beyond it): rows
+    follow the hits, which are sorted and judged as a stream, so no row holds an article's hits, and symbols are joined to an article's
+    keywords at the end. Aliases without a word character, and null texts, match nothing; article_id tells the articles apart."""
     lower = F.lower("alias")
     core = F.regexp_extract(lower, r"(?s)([a-z0-9_](?:.*[a-z0-9_])?)", 1)
     known = aliases.where("alias is not null and symbol is not null").select(lower.alias("keyword"), "symbol", core.alias("core")).where("core != ''")
     lead = F.instr("keyword", F.col("core")) - 1
     pairs = checkpointed(known.distinct())
-    table = pairs.select("keyword", "core").distinct().withColumns({"before": F.substring("keyword", F.lit(1), lead), "after": F.substr("keyword", lead + F.length("core") + 1)})
-    lengths = sorted(r["n"] for r in table.select(F.regexp_count("core", F.lit(WORD)).alias("n")).distinct().limit(MOST_LENGTHS + 1).collect())
+    before = F.substring("keyword", F.lit(1), lead)
+    # a row of what _held holds: five numbers of 4 bytes, one more for a symbol's end, and the strings
+    space = F.sum(F.octet_length("keyword") + F.octet_length("symbol") + 24).alias("space")
+    sizes = pairs.groupBy(F.regexp_count("core", F.lit(WORD)).alias("n")).agg(space).limit(MOST_LENGTHS + 1).collect()
+    lengths = sorted(r["n"] for r in sizes)
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"aliases of more than {MOST_LENGTHS} different numbers of words")
-    bitmap = articles.sparkSession.sparkContext.broadcast(_bitmap(table))
-    kind = articles.schema["article_id"].dataType.simpleString()
+    context, kind = articles.sparkSession.sparkContext, articles.schema["article_id"].dataType.simpleString()
+    if sum(r["space"] for r in sizes) <= HELD_BYTES:
+        words = pairs.groupBy("keyword", "core").agg(F.collect_set("symbol").alias("symbols"))
+        held = context.broadcast(_held(words.select(F.crc32("core").alias("hash"), F.octet_length(before).alias("lead"), "keyword", "symbols")))
+        texts = articles.select("article_id", F.coalesce(F.lower(text), F.lit("")).alias("_t"))
+        tags = texts.mapInArrow(_tags(lengths, held), f"article_id {kind}, symbol string, match_keyword string, pos int")
+        # dealt by article_id alone, whose repeats compress
+        return tags.repartition("article_id").groupBy("article_id", "symbol").agg(F.min_by("match_keyword", "pos").alias("match_keyword"))
+    table = pairs.select("keyword", "core").distinct().withColumns({"before": before, "after": F.substr("keyword", lead + F.length("core") + 1)})
+    bitmap = context.broadcast(_bitmap(table))
     grams = articles.select("article_id", F.lower(text).alias("_t")).mapInArrow(_grams(lengths, bitmap), f"article_id {kind}, begin int, end int, core string, left string, right string")
     hits = grams.join(bounded_broadcast(table), "core")
     # the regular expression's borders: the alias's own outer characters, then no word character beyond them
