@@ -118,6 +118,7 @@ def test_only_tags_are_shuffled(spark):
 @pytest.mark.parametrize("bytes_held", [0, 128 << 20])
 def test_held_and_joined_dictionaries_tag_alike(spark, monkeypatch, bytes_held):
     monkeypatch.setattr(joins, "HELD_BYTES", bytes_held)
+    monkeypatch.setattr(joins, "GROUP_BYTES", 40)
     texts = {k: v for k, v in TEXTS.items() if k != 11}
     assert tagged(spark, texts, ALIASES) == by_regex(texts, ALIASES)
     a, none = spark.createDataFrame([(None, "bank"), (1, "bank")], "article_id long, text string"), spark.createDataFrame([], "alias string, symbol string")
@@ -142,7 +143,7 @@ def test_texts_are_tagged_in_pieces(spark, monkeypatch, piece, run_rows):
         if core := re.search(r"(?s)[a-z0-9_](?:.*[a-z0-9_])?", alias):
             known.setdefault((alias, core.group()), set()).add(symbol)
     table = spark.createDataFrame([(core, len(alias[: alias.index(core)].encode()), alias, sorted(s)) for (alias, core), s in known.items()], "core string, lead int, keyword string, symbols array<string>")
-    held = spark.sparkContext.broadcast(joins._held(table.select(F.crc32("core").alias("hash"), "lead", "keyword", "symbols")))
+    held = spark.sparkContext.broadcast(joins._held(table.withColumn("hash", F.crc32("core")).toArrow()))
     batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["article_id", "text"])
     lengths = sorted({len(re.findall(joins.WORD, core)) for _, core in known})
     out = list(joins._tags(lengths, held)(iter([batch])))
@@ -152,3 +153,18 @@ def test_texts_are_tagged_in_pieces(spark, monkeypatch, piece, run_rows):
         first[key] = min(first.get(key, (r["pos"], r["match_keyword"])), (r["pos"], r["match_keyword"]))
     assert max(b.num_rows for b in out) <= run_rows
     assert {(*k, word) for k, (_, word) in first.items()} == by_regex(texts, aliases)
+
+
+def test_a_large_dictionary_is_dealt_to_groups_of_texts(spark, monkeypatch):
+    """Beyond the bound no task holds the dictionary and no hit is shuffled: texts go to groups once, with the aliases whose hashes stand there."""
+    monkeypatch.setattr(joins, "HELD_BYTES", 0)
+    monkeypatch.setattr(joins, "GROUP_BYTES", 1000)
+    rng = random.Random(3)
+    words = ["a", "b", "c", "aa", "b_", "ü"]
+    aliases = [(" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 5]))) + rng.choice(["", "", "!"]), f"s{rng.randrange(8)}") for _ in range(60)]
+    texts = {i: "".join(rng.choice(words) + rng.choice([" ", " ", "! ", "-"]) for _ in range(rng.randrange(60))) for i in range(150)}
+    a, d = spark.createDataFrame(list(texts.items()), "article_id long, text string"), spark.createDataFrame(aliases, "alias string, symbol string")
+    out = joins.tag_dictionary(a, d, F.col("text"))
+    want = by_regex(texts, aliases)
+    assert {tuple(r) for r in out.collect()} == want
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
